@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeweft.llm import syntax
+from codeweft.llm import syntax, truncation
 from codeweft.session import table
 
 
@@ -17,5 +17,13 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.parse_rates(syntax.parse_verdicts(table(spark, d, "source_files"), table(spark, d, "parse_results")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_evidence(table(spark, d, "documents")).where("truncated").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(truncation.truncation_evidence(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p10_found, p10_rates)}
 SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeweft.llm import syntax, truncation
+from codeweft.llm import docs, syntax, truncation
 from codeweft.session import table
 
 
@@ -17,6 +17,16 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.parse_rates(syntax.parse_verdicts(table(spark, d, "source_files"), table(spark, d, "parse_results")))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return docs.function_docs(table(spark, d, "ir_nodes"), table(spark, d, "source_files")).where("telling").select("node_id").distinct()
+
+
+def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The code-description pairs themselves."""
+    pairs = docs.function_docs(table(spark, d, "ir_nodes"), table(spark, d, "source_files"))
+    return pairs.where("telling").select("node_id", "signature", "documentation")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_evidence(table(spark, d, "documents")).where("truncated").select("doc_id").distinct()
 
@@ -25,5 +35,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(truncation.truncation_evidence(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p7_found, p7_pairs, p10_found, p10_rates)}
 SQL: dict[str, str] = {}

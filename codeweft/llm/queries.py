@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeweft.llm import docs, syntax, truncation
-from codeweft.session import table
+from codeweft.llm import docs, encoding, mixing, syntax, truncation
+from codeweft.session import stage, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +27,19 @@ def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where("telling").select("node_id", "signature", "documentation")
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode_column(table(spark, d, "documents"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix_shares(stage(mixing.mix(table(spark, d, "documents"), targets), "mix"), targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_evidence(table(spark, d, "documents")).where("truncated").select("doc_id").distinct()
 
@@ -35,5 +48,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(truncation.truncation_evidence(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p7_found, p7_pairs, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p7_found, p7_pairs, p8_ids, p9_mix, p9_shares, p10_found, p10_rates)}
 SQL: dict[str, str] = {}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeweft.llm import docs, encoding, mixing, syntax, truncation
+from codeweft.llm import docs, encoding, mixing, provenance, syntax, truncation
 from codeweft.session import stage, table
 
 
@@ -17,6 +18,16 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.parse_rates(syntax.parse_verdicts(table(spark, d, "source_files"), table(spark, d, "parse_results")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, d, "files"), table(spark, d, "source_files")).select("repo_id", "path")
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Files per repository and kind of evidence."""
+    found = provenance.not_handwritten(table(spark, d, "files"), table(spark, d, "source_files"))
+    return found.groupBy("repo_id", "why").agg(F.count("*").alias("files"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return docs.function_docs(table(spark, d, "ir_nodes"), table(spark, d, "source_files")).where("telling").select("node_id").distinct()
 
@@ -48,5 +59,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(truncation.truncation_evidence(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p7_found, p7_pairs, p8_ids, p9_mix, p9_shares, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p4_found, p4_kinds, p7_found, p7_pairs, p8_ids, p9_mix, p9_shares, p10_found, p10_rates)}
 SQL: dict[str, str] = {}

@@ -1 +1 @@
-
+"""Micro-batches of file listings."""

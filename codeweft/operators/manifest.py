@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from codeweft.functions import lexical as L
 
 KEY = ["repo_id", "path"]
+#: What the operators read of a file's row; whatever else it has can't clash with their own columns.
+FIELDS = [*KEY, "language", "sha256", "size_bytes", "line_count"]
 
 
 def latest(files: DataFrame, order: str = "indexed_at") -> DataFrame:
     """Of each path the row with the largest `order`; ties by hash."""
     rest = [c for c in files.columns if c not in KEY]
     newest = F.max_by(F.struct(*rest), F.struct(order, F.coalesce("sha256", F.lit("")))).alias("v")
-    return files.groupBy(*KEY).agg(newest).select(*KEY, "v.*")
+    return files.groupBy(*KEY).agg(newest).select(*KEY, *[F.col("v")[c].alias(c) for c in rest])
 
 
 def file_status(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def file_status(current: DataFrame, stored: DataFrame) -> DataFrame:
     `unknown`, empty hash, size and lines 0."""
     old = stored.select(*KEY, F.col("sha256").alias("old_sha"))
     gone = F.col("sha256").isNull()
-    return current.join(old, KEY, "full_outer").select(
+    return current.select(FIELDS).join(old, KEY, "full_outer").select(
         *KEY,
         F.when(gone, "unknown").otherwise(F.col("language")).alias("language"),
         F.coalesce("sha256", F.lit("")).alias("sha256"),
@@ -39,7 +41,7 @@ def file_status(current: DataFrame, stored: DataFrame) -> DataFrame:
 def change_set(current: DataFrame, stored: DataFrame) -> DataFrame:
     """repo_id, path, sha256 of the current rows that are new or have another hash than the stored one."""
     old = stored.select(*KEY, F.col("sha256").alias("old_sha"))
-    return current.join(old, KEY, "left").where(~F.col("old_sha").eqNullSafe(F.col("sha256"))).select(*KEY, "sha256")
+    return current.select(*KEY, "sha256").join(old, KEY, "left").where(~F.col("old_sha").eqNullSafe(F.col("sha256"))).select(*KEY, "sha256")
 
 
 def upsert_snapshot(stored: DataFrame, changes: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def upsert_snapshot(stored: DataFrame, changes: DataFrame) -> DataFrame:
     counted only once, so a stored count survives a 0."""
     old = stored.select(*KEY, F.col("language").alias("o_language"), F.col("sha256").alias("o_sha"), F.col("size_bytes").alias("o_size"), F.col("line_count").alias("o_lines"))
     lines = F.when((F.col("status") == "unchanged") & (F.coalesce("line_count", F.lit(0)) == 0), F.col("o_lines")).otherwise(F.col("line_count"))
-    j = changes.join(old, KEY, "full_outer").where(F.col("status").isNull() | (F.col("status") != "deleted"))
+    j = changes.select(*FIELDS, "status").join(old, KEY, "full_outer").where(F.col("status").isNull() | (F.col("status") != "deleted"))
     kept = F.col("status").isNull()
     return j.select(
         *KEY,
@@ -62,7 +64,7 @@ def upsert_meta(stored: DataFrame, new: DataFrame) -> DataFrame:
     """repo_meta with `new` merged in; of a known repository source and source_type stay as they are."""
     fields = ["git_branch", "git_commit", "last_indexed_at"]
     old = stored.select("repo_id", F.lit(True).alias("known"), *[F.col(c).alias(f"o_{c}") for c in ["source", "source_type", *fields]])
-    j = new.withColumn("fresh", F.lit(True)).join(old, "repo_id", "full_outer")
+    j = new.select("repo_id", "source", "source_type", *fields).withColumn("fresh", F.lit(True)).join(old, "repo_id", "full_outer")
     known, fresh = F.coalesce("known", F.lit(False)), F.coalesce("fresh", F.lit(False))
     return j.select(
         "repo_id",
@@ -94,7 +96,7 @@ def summary_text(files: DataFrame, meta: DataFrame) -> DataFrame:
     """repo_id, report: the manifest report as text."""
     per = language_breakdown(files).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("files")).alias("o"), "language", "files"))).alias("l"))
     langs = F.array_join(F.transform("l", lambda x: F.format_string("'%s': %d", x["language"], x["files"])), ", ")
-    j = summary(files).join(meta, "repo_id", "left").join(per, "repo_id", "left")
+    j = summary(files).join(meta.select("repo_id", "source", "source_type", "git_commit"), "repo_id", "left").join(per, "repo_id", "left")
     line = lambda title, *cols: F.concat(F.lit(f"{title:<10}: "), *cols)
     return j.select(
         "repo_id",

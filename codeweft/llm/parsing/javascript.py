@@ -16,13 +16,15 @@ CONTEXTUAL = words(
 _NAMES = CONTEXTUAL | {"n"}
 _WORDS = KEYWORDS | _NAMES
 
+#: Stands for `${` in a template: a dollar would read as a name.
+HOLE = "\x03"
 _IDENT = ident_pattern(KEYWORDS | CONTEXTUAL, dollar=True)
 _NUMBER = re.compile(r"(?<![\w$.])(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?n?)(?![\w$])")
 _BAD_NUMBER = re.compile(r"(?<![\w$])\d[\w$]*")
 _SCAN = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|["'`/\x01\x02]|[{}]""", re.DOTALL)
 _SCAN_JSX = re.compile(_SCAN.pattern + "|<(?=[A-Za-z>])", re.DOTALL)
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
-_TOKEN = re.compile(r"=>|\.\.\.|===|!==|==|!=|\*\*=|\*\*|\+\+|--|\+=|-=|\*=|/=|%=|&&=|\|\|=|\?\?=|<<=|<<|<=|&&|\|\||\?\?|\?\.(?!\d)|&=|\|=|\^=|\$\{|[A-Za-z]+|\S")
+_TOKEN = re.compile(r"=>|\.\.\.|===|!==|==|!=|\*\*=|\*\*|\+\+|--|\+=|-=|\*=|/=|%=|&&=|\|\|=|\?\?=|<<=|<<|<=|&&|\|\||\?\?|\?\.(?!\d)|&=|\|=|\^=|[A-Za-z]+|\S")
 #: After these an expression begins, so `/` opens a regular expression and `<` an element.
 _BEFORE_VALUE = re.compile(r"(?:^|[(\[{,;=:?!&|+\-*%^~<>]|(?<![\w$.])(?:return|typeof|case|in|of|do|else|void|delete|throw|new|instanceof|yield|await|default))$")
 
@@ -32,7 +34,7 @@ def shape(text: str, jsx: bool) -> str:
     _scan(text, 0, jsx, out, False)
     s = _IDENT.sub("n", "".join(out))
     s = _NUMBER.sub("0", s)
-    return _BAD_NUMBER.sub(BAD, s) if re.search(r"(?<![\w$])[1-9]", s) else s
+    return _BAD_NUMBER.sub(lambda m: "0" if m[0] == "0" else BAD, s)
 
 
 def _value_next(text: str, at: int) -> bool:
@@ -95,7 +97,7 @@ def _template(text: str, pos: int, jsx: bool, out: list[str]) -> int:
         if text[pos : pos + 2] != "${":
             out.append(BAD)
             return pos + 1
-        out.append("${")
+        out.append(HOLE)
         part: list[str] = []
         end = _scan(text, pos + 2, jsx, part, True)
         out.append("".join(part).replace("\n", INNER))
@@ -1018,7 +1020,7 @@ class Script(Parser):
     def template(self) -> None:
         self.need("`")
         while not self.take("`"):
-            self.need("${")
+            self.need(HOLE)
             self.expression()
             self.need("}")
 
@@ -1253,7 +1255,7 @@ class Script(Parser):
         elif t == "`":
             self.need("`")
             while not self.take("`"):
-                self.need("${")
+                self.need(HOLE)
                 self.type_()
                 self.need("}")
         elif t == "(":

@@ -566,7 +566,7 @@ class Line(Parser):
 
     def soft(self, t: str) -> bool:
         """A match or case header up to its colon, if this is one."""
-        if self.t[-2] != ":" or self.t[self.i + 1] in ("=", ".", ":", ")", ",", "", "in", "is", "and", "or", "if"):
+        if self.t[-4] != ":" or self.t[self.i + 1] in ("=", ".", ":", ")", ",", "", "in", "is", "and", "or", "if"):
             return False
         at = self.i
         try:

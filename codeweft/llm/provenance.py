@@ -24,8 +24,9 @@ from codeweft.session import plain_hash, plain_path, ship, stage
 SHARED_BYTES = 200
 #: Mean characters a line from which code is minified, and its longest line at least.
 MINIFIED_MEAN, MINIFIED_LINE = 160, 400
-#: Share of a text's visible characters that literals take in data saved as code, and their least number.
-DATA_SHARE, DATA_LITERALS = 0.6, 24
+#: Share of a text's characters, without blanks and punctuation, that literals take in data saved as code, and their
+#: least number.
+DATA_SHARE, DATA_LITERALS = 0.75, 24
 
 # Directories kept for third-party copies, and for what tools write.
 THIRD_PARTY_DIRS = frozenset("vendor _vendor third_party third-party thirdparty node_modules bower_components jspm_packages external externals extern deps godeps upstream site-packages pods carthage".split())
@@ -101,7 +102,7 @@ def evidence(path: str, text: str) -> str | None:
     lines = [x for x in text.split("\n") if x.strip()]
     longest = max(map(len, lines))
     if len(text) > 400 and (literals := _LITERAL.findall(text)) and len(literals) >= DATA_LITERALS:
-        visible = len(re.sub(r"\s+", "", text))
+        visible = len(re.sub(r"[\s,;:\[\](){}]+", "", text))
         if sum(map(len, literals)) >= DATA_SHARE * visible and not _ROUTINE.search(_LITERAL.sub("0", text)):
             return "data"
     if len(text) >= MINIFIED_MEAN * len(lines) and longest >= MINIFIED_LINE:

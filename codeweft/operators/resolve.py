@@ -123,3 +123,18 @@ def link_children(nodes: DataFrame, order: str = "ord") -> DataFrame:
     kids = nodes.select("repo_id", F.col("parent_id").alias("id"), "file_path", F.struct(order, F.col("id").alias("child")).alias("c")).where(F.col("id").isNotNull())
     own = nodes.select("repo_id", "id", "file_path")
     return kids.join(own, ["repo_id", "id", "file_path"]).groupBy("repo_id", "id").agg(F.array_sort(F.collect_set("c")).alias("cs")).select("repo_id", "id", F.transform("cs", lambda x: x["child"]).alias("children"))
+
+
+def legacy_edges(nodes: DataFrame) -> DataFrame:
+    """repo_id, src, dst, type by the nodes' own lists alone, an older way of reading them: calls as in `listed_calls`,
+    imports to the node of exactly the imported name, and the class of that name to its members. Of nodes with one name
+    the last by (file_path, start_line, id) is meant."""
+    last = nodes.groupBy("repo_id", F.col("name").alias("wanted")).agg(F.max_by("id", F.struct("file_path", "start_line", "id")).alias("found"))
+    imports = nodes.select("repo_id", F.col("id").alias("src"), F.explode("imports").alias("wanted")).join(last, ["repo_id", "wanted"]).select("repo_id", "src", F.col("found").alias("dst"))
+    members = nodes.select("repo_id", F.col("id").alias("dst"), F.col("parent_class").alias("wanted")).join(last, ["repo_id", "wanted"]).select("repo_id", F.col("found").alias("src"), "dst")
+    parts = (("calls", listed_calls(nodes)), ("imports", imports), ("defines", members))
+    out = None
+    for t, df in parts:
+        df = df.distinct().withColumn("type", F.lit(t))
+        out = df if out is None else out.unionByName(df)
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeweft.extract import table as xt
 from codeweft.functions import lexical as L
-from codeweft.operators import graph, manifest, resolve
+from codeweft.operators import graph, manifest, reports, resolve
 from codeweft.session import stage, table
 from codeweft.sources import store
 
@@ -184,8 +184,39 @@ def manifest_report(spark, d):
     return manifest.summary_text(f, meta.select("repo_id", "source", "source_type", "git_commit"))
 
 
-QUERIES = {f.__name__: f for f in (extract_python, extract_javascript, extract_go, extract_generic, extracted_edges, extract_all, sources_graph, json_lists, manifest_report)}
+def parse_totals(spark, d):
+    """Totals of the parsing report per repository."""
+    edges = {"calls": table(spark, d, "ir_call_edges").select("repo_id", "id").distinct(), "inherits": table(spark, d, "ir_inheritance_edges").select("repo_id", "id").distinct()}
+    return reports.parse_totals(table(spark, d, "parse_results"), graph.current_nodes(table(spark, d, "ir_nodes")), edges)
+
+
+def parse_report(spark, d):
+    edges = {"Call edges": table(spark, d, "ir_call_edges"), "Inherit edges": table(spark, d, "ir_inheritance_edges")}
+    return reports.parse_report(table(spark, d, "parse_results"), graph.current_nodes(table(spark, d, "ir_nodes")), edges)
+
+
+def graph_report(spark, d):
+    n = stage(graph.current_nodes(table(spark, d, "ir_nodes"), "calls", "imports"), "nodes")
+    return reports.graph_report(n, stage(graph.merge_edges(graph.all_edges(n, table(spark, d, "ir_call_edges"), table(spark, d, "ir_inheritance_edges"))), "merged"))
+
+
+def legacy_edges(spark, d):
+    return resolve.legacy_edges(stage(graph.current_nodes(table(spark, d, "ir_nodes"), "calls", "imports"), "nodes"))
+
+
+QUERIES = {f.__name__: f for f in (extract_python, extract_javascript, extract_go, extract_generic, extracted_edges, extract_all, sources_graph, json_lists, manifest_report, parse_totals, parse_report, graph_report, legacy_edges)}
+_CUR = "WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC, deleted_at NULLS LAST) AS rn FROM ir_nodes) WHERE rn = 1 AND deleted_at IS NULL)"
 SQL = {
+    "parse_totals": f"""{_CUR}, r AS (SELECT repo_id, file_path, bool_and(coalesce(success, FALSE)) AS fine FROM parse_results GROUP BY ALL), f AS (SELECT repo_id, count(*) AS files, count(*) FILTER (NOT fine) AS failed FROM r GROUP BY ALL),
+  n AS (SELECT repo_id, count(*) AS nodes FROM cur GROUP BY ALL), c AS (SELECT repo_id, count(DISTINCT id) AS calls FROM ir_call_edges GROUP BY ALL), i AS (SELECT repo_id, count(DISTINCT id) AS inherits FROM ir_inheritance_edges GROUP BY ALL)
+  SELECT repo_id, CAST(coalesce(files, 0) AS BIGINT) AS files, CAST(coalesce(failed, 0) AS BIGINT) AS failed, CAST(coalesce(nodes, 0) AS BIGINT) AS nodes, CAST(coalesce(calls, 0) AS BIGINT) AS calls, CAST(coalesce(inherits, 0) AS BIGINT) AS inherits
+  FROM f FULL JOIN n USING (repo_id) FULL JOIN c USING (repo_id) FULL JOIN i USING (repo_id)""",
+    "legacy_edges": f"""{_CUR}, lastn AS (SELECT repo_id, name, id FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY file_path DESC, start_line DESC, id DESC) AS k FROM cur) WHERE k = 1),
+  lists AS (SELECT DISTINCT repo_id, id AS src, unnest(calls) AS name FROM cur)
+  SELECT DISTINCT w.repo_id, w.src, n.id AS dst, 'calls' AS type FROM lists w JOIN cur n ON n.repo_id = w.repo_id AND n.name = w.name
+  UNION SELECT w.repo_id, w.src, n.id, 'calls' FROM lists w JOIN cur n ON n.repo_id = w.repo_id AND n.name = split_part(w.name, '.', -1) WHERE (w.repo_id, w.name) NOT IN (SELECT (repo_id, name) FROM cur)
+  UNION SELECT i.repo_id, i.src, l.id, 'imports' FROM (SELECT repo_id, id AS src, unnest(imports) AS name FROM cur) i JOIN lastn l ON l.repo_id = i.repo_id AND l.name = i.name
+  UNION SELECT c.repo_id, l.id, c.id, 'defines' FROM cur c JOIN lastn l ON l.repo_id = c.repo_id AND l.name = c.parent_class""",
     "extract_python": _values(PYTHON_ROWS),
     "extract_javascript": _values(JAVASCRIPT_ROWS),
     "extract_go": _values(GO_ROWS),

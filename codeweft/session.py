@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -25,6 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _OWN: dict[str, str] = {}
+#: Local folders of this process that go away with it; on a cluster `drop_staged` removes what was staged.
+_LOCAL: set[str] = set()
+_STAGED: dict[str, list[str]] = {}
+
+
+@atexit.register
+def _forget() -> None:
+    for path in _LOCAL:
+        shutil.rmtree(path, ignore_errors=True)
 
 
 def _own_dir(spark: SparkSession) -> str:
@@ -32,7 +43,9 @@ def _own_dir(spark: SparkSession) -> str:
     if app not in _OWN:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="codeweft-")
+        folder = tempfile.mkdtemp(prefix="codeweft-")
+        _LOCAL.add(folder)
+        _OWN[app] = f"file://{folder}"
     return _OWN[app]
 
 
@@ -45,7 +58,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="codeweft-")) / "codeweft.zip"
+    folder = tempfile.mkdtemp(prefix="codeweft-")
+    _LOCAL.add(folder)
+    target = Path(folder) / "codeweft.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
@@ -55,7 +70,17 @@ def ship(spark: SparkSession) -> None:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if spark.sparkContext.master.startswith("local["):
+        _LOCAL.add(path.removeprefix("file://"))
+    return path
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove every table this session staged; results that still read them are void afterwards."""
+    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

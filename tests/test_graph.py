@@ -31,6 +31,11 @@ def test_listed_call_only(spark):
     assert rows(e, "src", "dst", "type") == [("n2", "n1", "calls")]
 
 
+def test_legacy_lists(spark):
+    n = frame(spark, node("n1", "foo", file="foo.py"), node("n2", "bar", file="bar.py", calls=["foo"]), node("n3", "MyClass", "class", imports=["foo"]), ("r", "n4", "method", "method", "a.py", 2, 2, "python", True, None, "MyClass", [], [], 1, "x", "y"))
+    assert rows(R.legacy_edges(n), "src", "dst", "type") == [("n2", "n1", "calls"), ("n3", "n1", "imports"), ("n3", "n4", "defines")]
+
+
 def test_full_name_beats_leaf_and_stale_callers(spark):
     n = frame(spark, node("a", "m.go"), node("b", "go"), node("c", "go"), node("d", "x"), node("o", "go", repo="other"))
     e = calls(spark, ("d", None, "m.go"), ("d", "", "q.go"), ("gone", None, "go"), ("d", "zz", "go"), ("d", "a", "ignored"), ("d", None, None), (None, None, "go"), ("b", "b", "go"), ("d", None, "m.go"))

@@ -22,7 +22,7 @@ from codeweft.session import stage
 #: Slope of the schedules: sources of short texts begin above their share and end below it, long ones the other way.
 TILT = 0.5
 #: Buckets of a source's shuffled order for cumulative sums; a bucket holds this share of the source's copies.
-BUCKETS = 4096
+BUCKETS = 1 << 16
 
 
 def source_plan(sized: DataFrame, targets: DataFrame, total: int | None = None, tilt: float = TILT) -> DataFrame:

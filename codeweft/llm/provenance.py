@@ -2,7 +2,8 @@
 
 Third-party copies show in three ways: their directory tree or the file itself has the same Merkle hash in an unrelated
 repository; they lie in a directory kept for such copies; or their header names another owner. Generated files show by
-header or by the marks generators put into names, minified ones and data by layout. Prose about generating, vendoring
+header by the marks generators put into names, or by
+routines counted through; minified ones and data show by layout. Prose about generating, vendoring
 or minifying is no evidence, nor is a word that only begins like a mark.
 
 Null texts are left out; an empty text is hand-written. Paths are compared in plain spelling. Of several texts of one
@@ -55,6 +56,9 @@ _THIRD_PARTY_HEADER = re.compile(
     | \A\s*(?:/\*!|\#|//!?)\s*[\w.-]+\ v?\d+(?:\.\d+)+\s*(?:\*/)?\s*$""",
     re.MULTILINE,
 )
+#: Routines with numbers of the same width for names, counted up without a gap: so many are never written by hand.
+NUMBERED_ROUTINES = 16
+_NUMBERED = re.compile(r"\b(?:def|func|function|const|let|var|void|[\w>\]]+)\s+[A-Za-z_]+?_?(\d{2,})\s*(?:=\s*(?:async\s*)?)?\(|^\s+[A-Za-z_]+?_?(\d{2,})\([^)]*\)[^;\n]*\{", re.MULTILINE)
 _COMMENT = re.compile(r"^\s*(?:#|//|/?\*|--|<!--|\"\"\"|''')")
 _LITERAL = re.compile(r"""0x[0-9a-fA-F]+|(?<![\w.])-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""")
 _ROUTINE = re.compile(r"(?m)^\s*(?:def\s|async\s|func\s|function\b|class\s+\w+[^\n]*:\s*$)|=>|\breturn\b|\bfunction\s*\(|\blambda\b")
@@ -107,6 +111,11 @@ def evidence(path: str, text: str) -> str | None:
             return "data"
     if len(text) >= MINIFIED_MEAN * len(lines) and longest >= MINIFIED_LINE:
         return "minified"
+    numbers = [a or b for a, b in _NUMBERED.findall(text)]
+    for width in {len(n) for n in numbers}:
+        seen = {int(n) for n in numbers if len(n) == width}
+        if len(seen) >= NUMBERED_ROUTINES and max(seen) - min(seen) + 1 == len(seen):
+            return "generated, by layout"
     if _MINIFIED_NAME.search(stem) or "sourceMappingURL=" in text[-300:] and longest >= MINIFIED_LINE:
         return "minified"
     return None

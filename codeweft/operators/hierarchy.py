@@ -27,6 +27,8 @@ from codeweft.session import ship, stage
 ONE_TASK_LINKS = 500_000
 #: A fragment spans at most so many lines of a file, so that no single file fills a task.
 BLOCK_LINES = 5_000
+#: Nodes without a line are scattered over so many blocks of their file.
+SCATTER = 256
 
 
 def current_links(nodes: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def current_links(nodes: DataFrame) -> DataFrame:
         .groupBy("id")
         .agg(newest.alias("v"))
         .where(~F.col("v.deleted"))
-        .select("id", "v.ord", "v.parent_id", F.xxhash64("v.repo_id", "v.file_path", F.floor(F.coalesce("v.start_line", F.lit(0)) / BLOCK_LINES)).alias("block")),
+        .select("id", "v.ord", "v.parent_id", F.xxhash64("v.repo_id", "v.file_path", F.coalesce(F.floor(F.col("v.start_line") / BLOCK_LINES), -1 - F.pmod(F.xxhash64("id"), F.lit(SCATTER)))).alias("block")),
         "live-nodes",
     )
     claims = nodes.select(F.col("id").alias("by"), F.col("ord").alias("by_ord"), F.explode("children").alias("child"))

@@ -173,18 +173,21 @@ def shared_files(files: DataFrame) -> DataFrame:
     every = leaves.select("repo_id", "path", "n", "h1", "h2", "size", F.lit(True).alias("leaf"))
     for t in trees:
         every = every.unionByName(t.select("*", F.lit(0).cast("long").alias("size"), F.lit(False).alias("leaf")))
-    common = (
+    # A hash may be that of a third of all files: it is reduced map-side, and as the shared hashes are staged, the join
+    # back has a plain exchange on either side that can be split, or a side small enough to be sent around.
+    common = stage(
         every.groupBy("n", "h1", "h2", "leaf")
         .agg(F.min("repo_id").alias("a"), F.max("repo_id").alias("b"))
         .where("a != b")
-        .select("n", "h1", "h2", "leaf")
+        .select("n", "h1", "h2", "leaf"),
+        "common",
     )
     marked = stage(every.join(common, ["n", "h1", "h2", "leaf"], "left_semi").where(~F.col("leaf") & (F.col("n") > 1) | F.col("leaf") & (F.col("size") >= SHARED_BYTES)), "shared")
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     per_dir = leaves.groupBy("repo_id", folder.alias("dir")).agg(F.count("*").alias("all"))
     hit = marked.where("leaf").groupBy("repo_id", folder.alias("dir")).agg(F.count("*").alias("hit"))
     mostly = per_dir.join(hit, ["repo_id", "dir"]).where("hit >= 2 and hit * 2 >= all and dir != ''").select("repo_id", "dir")
-    whole = marked.where(~F.col("leaf")).select("repo_id", F.col("path").alias("dir")).unionByName(mostly).distinct()
+    whole = stage(marked.where(~F.col("leaf")).select("repo_id", F.col("path").alias("dir")).unionByName(mostly).distinct(), "shared-dirs")
     # Every directory above a file, so that the marked ones meet their files by an equality.
     above = leaves.select("repo_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k - 1), "/"))).alias("dir")).where("dir != ''")
     return above.join(whole, ["repo_id", "dir"], "left_semi").select("repo_id", "path").unionByName(marked.where("leaf").select("repo_id", "path")).distinct()

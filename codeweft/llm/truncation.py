@@ -31,7 +31,9 @@ BESIDE = 4
 #: No field that holds a sentence is shorter.
 LEAST_LIMIT = 20
 #: An ending is unfinished when its words end a sentence in less than this share of cases; OPEN_SHARE with some evidence.
-UNFINISHED_SHARE, OPEN_SHARE = 0.08, 0.25
+UNFINISHED_SHARE, OPEN_SHARE = 0.006, 0.25
+#: A text shorter than this is judged by marks only, one that ends inside a word from this length on.
+LEAST_TEXT, LEAST_BROKEN = 20, 10
 #: A reported length is taken for the author's only if it exceeds the text's by more than such misreports do.
 MISREPORT = 45
 
@@ -59,6 +61,11 @@ def _key(word: str) -> str:
     return word.lower()
 
 
+def _mark(text: str) -> re.Match | None:
+    """The mark of a cutter at the end of a text."""
+    return _MARK.search(text, max(0, len(text) - 60))
+
+
 def _words(text: str) -> list[tuple[str, int, int]]:
     return [(_key(m[0]), m.start(), m.end()) for m in _WORD.finditer(text)]
 
@@ -70,6 +77,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: Counter = Counter()
     for b in batches:
         for text in b.column(0).to_pylist():
+            if m := _mark(text):
+                text = text[: m.start()]
             before = key = ""
             for key, _, stop in _words(text):
                 pair = f"{before} {key}"
@@ -101,7 +110,7 @@ def _ending(text: str) -> tuple[str, str, str]:
         return "none", "", ""
     if body[-1] == "�":
         return "broken", "", ""
-    if m := _MARK.search(body):
+    if _mark(body):
         return "marked", "", ""
     dots = False
     if m := _DOTS.search(body):
@@ -205,7 +214,7 @@ def truncation_evidence(docs: DataFrame) -> DataFrame:
     inside = stats.where(~F.col("key").contains(" ") & (F.col("seen") - F.col("last") >= 3) & (F.length("key") > 1)).select("key")
     begun = inside.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda k: F.substring("key", F.lit(1), k))).alias("word")).distinct()
     begun = stage(begun.join(unsure.select("word").distinct(), "word", "left_semi").withColumn("begins", F.lit(True)), "beginnings")
-    two = known.select(F.col("key").alias("pair"), F.col("seen").alias("seen2"), F.col("ends").alias("ends2"))
+    two = known.select(F.col("key").alias("pair"), F.col("seen").alias("seen2"), F.col("ends").alias("ends2"), F.col("last").alias("last2"))
     one = known.select(F.col("key").alias("word"), F.col("seen").alias("seen1"), F.col("ends").alias("ends1"), F.col("last").alias("last1"))
     at = [
         endings.join(limits.where(F.col("measure") == m).select("source", F.col("length").alias(m)), ["source", m], "left_semi").select("doc_id")
@@ -213,24 +222,30 @@ def truncation_evidence(docs: DataFrame) -> DataFrame:
     ]
     at_limit = at[0].union(at[1]).union(at[2]).distinct().withColumn("at_limit", F.lit(True))
     j = endings.join(two, "pair", "left").join(one, "word", "left").join(begun, "word", "left").join(at_limit, "doc_id", "left")
-    # A text's own ending is counted in the statistics and taken out of them.
-    s2, e2 = F.coalesce("seen2", F.lit(0)) - 1, F.greatest(F.coalesce("ends2", F.lit(0)) - 1, F.lit(0))
-    s1, e1 = F.coalesce("seen1", F.lit(0)) - 1, F.greatest(F.coalesce("ends1", F.lit(0)) - 1, F.lit(0))
+    def ending_share(k: int):
+        """How often words end a sentence inside texts; for those that hardly occur elsewhere, how often at all. A text's
+        own ending is counted in the statistics and taken out of them."""
+        seen, ends, last = (F.coalesce(f"{c}{k}", F.lit(0)) for c in ("seen", "ends", "last"))
+        usual = F.greatest(ends - last, F.lit(0)) / F.greatest(seen - last, F.lit(1))
+        closing = F.greatest(ends - 1, F.lit(0)) / F.greatest(seen - 1, F.lit(1))
+        return F.when((seen >= 6) & (last * 2 > seen), closing).otherwise(usual)
+
     broken_word = F.coalesce("begins", F.lit(False)) & (F.coalesce(F.col("seen1") - F.col("last1"), F.lit(0)) == 0)
-    share = F.when(broken_word, 0.0).when(s2 >= 4, e2 / s2).when(s1 >= 1, e1 / s1).otherwise(F.lit(0.0))
+    share = F.when(broken_word, 0.0).when(F.coalesce("seen2", F.lit(0)) >= 5, ending_share(2)).otherwise(ending_share(1))
     j = j.select(
-        "doc_id", "source", "kind", "chars", share.alias("share"), F.coalesce("at_limit", F.lit(False)).alias("at_limit"),
+        "doc_id", "source", "kind", "chars", share.alias("share"), broken_word.alias("broken"), F.coalesce("at_limit", F.lit(False)).alias("at_limit"),
         F.coalesce(F.col("n_chars") - F.greatest("chars", "bytes"), F.lit(0)).alias("missing"),
     )
     open_end, limit, lost = F.col("kind").isin("open", "dots-open"), F.col("at_limit"), F.col("missing")
     cut = (
         F.col("kind").isin("marked", "broken", "unclosed")
-        | (open_end & (F.col("share") < UNFINISHED_SHARE) & (F.col("chars") >= LEAST_LIMIT))
+        | (open_end & (F.col("share") < UNFINISHED_SHARE) & (F.col("chars") >= LEAST_TEXT))
+        | (open_end & F.col("broken") & (F.col("chars") >= LEAST_BROKEN))
         | (open_end & (limit | (lost > MISREPORT) | ((lost > 0) & (F.col("share") < OPEN_SHARE))))
         | ((F.col("kind") == "trailer") & limit & ((lost > 0) | (F.col("share") < OPEN_SHARE)))
         | (F.col("kind").isin("full", "sealed") & limit & (lost > MISREPORT))
     )
-    return j.withColumn("truncated", cut)
+    return j.withColumn("truncated", cut).drop("broken")
 
 
 def truncation_rates(evidence: DataFrame) -> DataFrame:

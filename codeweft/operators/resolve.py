@@ -37,23 +37,33 @@ def typed_calls(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.join(ids.withColumnRenamed("id", "dst"), ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst")
 
 
-def named_calls(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Call edges without a callee_id among the nodes, resolved by name."""
+def _named(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """repo_id, src, name of the call edges without a callee_id among the nodes."""
     ids = nodes.select("repo_id", "id")
     e = edges.select("repo_id", F.col("caller_id").alias("src"), "callee_id", F.col("callee_name").alias("name")).where(F.col("name").isNotNull()).distinct()
     e = e.join(ids.withColumnRenamed("id", "src"), ["repo_id", "src"], "left_semi")
-    e = e.join(ids.withColumnRenamed("id", "callee_id"), ["repo_id", "callee_id"], "left_anti")
-    return _by_name(e.select("repo_id", "src", "name").distinct(), nodes).distinct()
+    return e.join(ids.withColumnRenamed("id", "callee_id"), ["repo_id", "callee_id"], "left_anti").select("repo_id", "src", "name")
+
+
+def _listed(nodes: DataFrame) -> DataFrame:
+    """repo_id, src, name of the nodes' own `calls` lists."""
+    return nodes.select("repo_id", F.col("id").alias("src"), F.explode("calls").alias("name")).where(F.col("name").isNotNull())
+
+
+def named_calls(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Call edges without a callee_id among the nodes, resolved by name."""
+    return _by_name(_named(edges, nodes).distinct(), nodes).distinct()
 
 
 def listed_calls(nodes: DataFrame) -> DataFrame:
     """What the nodes' own `calls` lists resolve to."""
-    e = nodes.select("repo_id", F.col("id").alias("src"), F.explode("calls").alias("name")).where(F.col("name").isNotNull()).distinct()
-    return _by_name(e, nodes).distinct()
+    return _by_name(_listed(nodes).distinct(), nodes).distinct()
 
 
 def call_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return typed_calls(edges, nodes).union(named_calls(edges, nodes)).union(listed_calls(nodes)).distinct()
+    """All three: names of both kinds are resolved together, each (source, name) once."""
+    wanted = _named(edges, nodes).union(_listed(nodes)).distinct()
+    return typed_calls(edges, nodes).union(_by_name(wanted, nodes)).distinct()
 
 
 def import_rows(nodes: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from codeweft.plans import atlas, extraction, integrity
+from codeweft.plans import codegraph, extraction, integrity
 
-MODULES = (atlas, extraction, integrity)
+MODULES = (codegraph, extraction, integrity)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
 

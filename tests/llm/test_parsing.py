@@ -13,7 +13,7 @@ PY_OK = [
     "", "\n\n", "x = 1\n", "def f(a, /, b=1, *c, d, **e) -> int: pass\n", "@a.b(1)\nasync def f():\n    async with x as (y, z), q:\n        await g()\n", "if a:\n  pass\nelif b:\n  pass\nelse:\n  pass\n",
     "try:\n  pass\nexcept* E as e:\n  pass\n", "try:\n  pass\nexcept:\n  pass\nelse:\n  pass\nfinally:\n  pass\n", "for i, *j in x:\n  break\nelse:\n  continue\n", "a = b = c, d = 1, 2\n", "x: int = 3\n", "a[1:2, ::3, ...] += 1\n",
     "lambda *a, b=1: (yield)\n", "{**a, 'b': 1}\n{*a, 1}\n{}\n[x async for x in y if z]\n", "print(*a, **b, c=1)\n", "from . import (a as b, c,)\n", "match x:\n  case [1, *_] | {'a': b, **c} if q:\n    pass\n  case A.B(x=1):\n    pass\n",
-    "match = 1\nmatch.x = case\n", "type X[T: int] = list[T]\n", "class A[T](B, metaclass=C):\n    x = 1; y = 2\n", "with (a as b, c):\n    pass\n", "x = (\n  1,\n  # c\n)\n", "s = '''a\n  b'''\nf = f'{x!r:>{w}}' b''\n" if False else "s = '''a\n  b'''\n",
+    "match = 1\nmatch.x = case\n", "type X[T: int] = list[T]\n", "class A[T](B, metaclass=C):\n    x = 1; y = 2\n", "with (a as b, c):\n    pass\n", "x = (\n  1,\n  # c\n)\n", "s = '''a\n  b'''\n", "f = f'{x!r:>{w}}' f'{{}}'\n",
     "if (n := f()) > 1: pass\n", "global x\ndel a, b[1]\nassert x, 'm'\nraise E from None\n", "0x_1f + 1_0.5e-3j + 0b1 + .5 + 1.\n", "x = not a in b is not c\n", "a = b if c else d\n", "def f():\n\tif x:\n\t\treturn\n", "x = 'a' \\\n  'b'\n", "é = 1\n", "if x:\n    pass # c\n# d\n    y = 1\n",
 ]
 PY_BAD = [
@@ -24,7 +24,7 @@ JS_OK = [
     "", "const a = 1, {b, c: [d = 2], ...e} = f;", "let x\nx = 1\nfoo()\n", "for (const k of o) {}\nfor (let i = 0, n = 3; i < n; i++) ;\nfor (var k in o) {}\nfor (;;) { break }", "label: while (1) { continue label; }",
     "class A extends B { static #p = 1; get x() { return 1 } async *g() {} static { f() } constructor(a) { super(a) } [k] = 2; 'q'() {} }", "const f = async (a, {b}, ...c) => ({a});\nx => x\n", "a ?? b?.c?.[d]?.(e) ** 2", "`a ${b + `c ${d}`} e`", "x = /a[/]b/g.test(y) / 2",
     "import a, {b as c} from 'd';\nimport * as e from 'f';\nimport 'g';\nexport {a as default};\nexport * from 'h';\nexport default class {}\n", "switch (a) { case 1: f(); break; default: g() }", "try { a() } catch { b() } finally { c() }", "new A.B(1).c; new X; new (f())();", "if (a) b; else if (c) d; else { e }",
-    "var a = function* () { yield* b; yield }", "({get a() { return 1 }, set a(v) {}, async b() {}, [c]: 1, 'd': 2, e, ...f})", "a = b ? c : d, e", "do x(); while (y)\nz()", "!function () { }()", "a\n  .b()\n  .c()\n", "return_ = typeof a === 'b' && void 0", "<div a='b' {...c}>{d} <e/> text</div>;\n" if False else "const j = <div a='b'>{d} <e/> text</div>;\n", "const x = a < b, y = c > d;", "if (a) {\n}\n(b)\n", "async () => { await x; for await (const q of r) {} }", "let async = 1; async = of;", "a = {} / 2" , "#!/usr/bin/env node\nx()\n", "const get = { static: 1, new: 2 }; get.class",
+    "var a = function* () { yield* b; yield }", "({get a() { return 1 }, set a(v) {}, async b() {}, [c]: 1, 'd': 2, e, ...f})", "a = b ? c : d, e", "do x(); while (y)\nz()", "!function () { }()", "a\n  .b()\n  .c()\n", "return_ = typeof a === 'b' && void 0", "const j = <div a='b' {...c}>{d} <e/> text</div>;\n", "const x = a < b, y = c > d;", "if (a) {\n}\n(b)\n", "async () => { await x; for await (const q of r) {} }", "let async = 1; async = of;", "a = {} / 2" , "#!/usr/bin/env node\nx()\n", "const get = { static: 1, new: 2 }; get.class",
 ]
 JS_BAD = [
     "const a;", "let = = 1", "function (", "f(a,, b)", "a b", "if (a", "class A { x y }", "x = 'a", "}", "{", "for (a b) {}", "const x: number = 1;", "import a b from 'c';", "export 1;", "a ? b", "1 = 2", "f() = 1", "<<<<<<< HEAD\n", "def f():\n    pass\n", "interface A { b: string }", "return a b", "`a ${b", "try { }", "a => ", "var 1a = 2", "x = @", "package a;", "((a)", "new", "a +", "{'a': 1}", "++f()",

@@ -73,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     results = pipeline.parse(store, found)
     found.commit(store)
-    mine = store.read("nodes").where(F.col("repo_id") == found.repo.repo_id)
+    mine = store.read("nodes", found.repo.repo_id)
     _show("Kinds", mine.groupBy("kind").count().orderBy(F.desc("count"), "kind").collect(), ("kind", "count"))
     _show("Failed files (first 10)", results.where("not success").orderBy("file_path").limit(10).collect(), ("file_path", "errors"))
     if args.command == "parse":

@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from codeweft.session import list_names, new_path, plain_hash, plain_path, stage, write_text
 
 BATCH = "repo_id string, path string, sha256 string, size_bytes bigint, seq int, run_id bigint"
+#: Commits after which the manifest is written out as one state.
+COMPACT_EVERY = 16
 
 
 class Manifest:
-    """The manifest in a folder: `batches/<run>` parquet, `commits/<seq>-<run>.json`."""
+    """The manifest in a folder: `batches/<run>` and `states/<seq>` as parquet, `commits/<seq>-<run>.json` and
+    `state-marks/<seq>.json` beside them; what has no mark doesn't count."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -37,9 +40,23 @@ class Manifest:
         return reader.parquet(*paths) if paths else self.spark.createDataFrame([], BATCH)
 
     def last_taken(self) -> DataFrame:
-        """repo_id, path and the checksum and size last taken."""
-        newest = F.max(F.struct("seq", "sha256", "size_bytes")).alias("v")
-        return self.batches().groupBy("repo_id", "path").agg(newest).select("repo_id", "path", "v.sha256", "v.size_bytes")
+        """repo_id, path and the checksum and size last taken: the newest state and the batches since."""
+        since = self.state_seq()
+        paths = [f"{self.folder}/batches/{run}" for seq, run in self.committed() if seq > since]
+        paths += [f"{self.folder}/states/{since}"] if since else []
+        rows = self.spark.read.schema(BATCH).parquet(*paths) if paths else self.spark.createDataFrame([], BATCH)
+        newest = F.max(F.struct("seq", "sha256", "size_bytes", "run_id")).alias("v")
+        return rows.groupBy("repo_id", "path").agg(newest).select("repo_id", "path", "v.sha256", "v.size_bytes", "v.seq", "v.run_id")
+
+    def state_seq(self) -> int:
+        """The commit up to which the newest state goes, 0 for none."""
+        return max((int(x[:-5]) for x in list_names(self.spark, f"{self.folder}/state-marks") if x.endswith(".json")), default=0)
+
+    def compact(self) -> None:
+        """Write what was last taken of every path as a state, so that later runs needn't read all batches before it."""
+        seq = len(self.committed())
+        self.last_taken().write.mode("overwrite").parquet(f"{self.folder}/states/{seq}")
+        write_text(self.spark, f"{self.folder}/state-marks/{seq:09d}.json", json.dumps({"seq": seq}))
 
     def write_batch(self, run_id: int, listing: DataFrame) -> int:
         """Write what `listing` (repo_id, path, sha256, size_bytes) holds beyond the manifest as batch `run_id`; its place."""
@@ -55,7 +72,10 @@ class Manifest:
         """One run; false when it was committed before."""
         if run_id in {r for _, r in self.committed()}:
             return False
-        self.commit(run_id, self.write_batch(run_id, listing))
+        seq = self.write_batch(run_id, listing)
+        self.commit(run_id, seq)
+        if seq % COMPACT_EVERY == 0:
+            self.compact()
         return True
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeweft.extract import table as xt
 from codeweft.functions import lexical as L
-from codeweft.operators import graph, manifest
+from codeweft.operators import graph, manifest, resolve
 from codeweft.session import stage
 from codeweft.sources import git
 from codeweft.sources.store import Store
@@ -25,12 +25,11 @@ class Ingested:
 
     def commit(self, store: Store) -> None:
         """Make the listing the stored snapshot. Done last: when a phase before fails, the next run sees the same changes."""
-        others = store.read("files").where(F.col("repo_id") != self.repo.repo_id)
-        mine = manifest.upsert_snapshot(self.before, self.files).join(self.files.select("repo_id", "path", "last_modified"), ["repo_id", "path"], "left").withColumn("indexed_at", F.current_timestamp())
-        store.write("files", others.unionByName(mine, allowMissingColumns=True))
         r = self.repo
+        mine = manifest.upsert_snapshot(self.before, self.files).join(self.files.select("repo_id", "path", "last_modified"), ["repo_id", "path"], "left").withColumn("indexed_at", F.current_timestamp())
+        store.write("files", r.repo_id, mine)
         meta = store.spark.createDataFrame([(r.repo_id, r.source, r.source_type, r.git_branch, r.git_commit)], "repo_id string, source string, source_type string, git_branch string, git_commit string")
-        store.write("repo_meta", manifest.upsert_meta(store.read("repo_meta"), meta.withColumn("last_indexed_at", F.current_timestamp())))
+        store.write("repo_meta", r.repo_id, manifest.upsert_meta(store.read("repo_meta", r.repo_id), meta.withColumn("last_indexed_at", F.current_timestamp())))
 
 
 def listing(tree: DataFrame) -> DataFrame:
@@ -47,7 +46,7 @@ def ingest(spark: SparkSession, store: Store, source: str, branch: str | None =
     """List a repository and compare it with its stored snapshot; `force` compares with nothing."""
     repo = git.resolve(source, branch)
     current = stage(listing(read_tree(spark, repo.path, repo.repo_id)), "listing")
-    stored = store.read("files").where(F.col("repo_id") == repo.repo_id)
+    stored = store.read("files", repo.repo_id)
     before = stored.limit(0) if force else stored
     status = manifest.file_status(current.drop("text"), before)
     files = stage(status.join(current.select("repo_id", "path", "last_modified"), ["repo_id", "path"], "left"), "manifest")
@@ -58,27 +57,25 @@ def ingest(spark: SparkSession, store: Store, source: str, branch: str | None =
 
 def parse(store: Store, found: Ingested) -> DataFrame:
     """Extract the changed files and bring the stored elements and edges up to date; the parse results."""
+    repo_id = found.repo.repo_id
     rows = stage(xt.extract(found.texts), "extracted")
-    stale = found.files.where("status != 'unchanged'").select("repo_id", F.col("path").alias("file_path"))
-    if store.exists("nodes"):
-        store.delete_files(stale)
-    store.upsert_nodes(xt.nodes(rows))
+    if store.version("nodes", repo_id):
+        store.delete_files(repo_id, found.files.where("status != 'unchanged'").select(F.col("path").alias("file_path")))
+    store.upsert_nodes(repo_id, xt.nodes(rows))
     for tag, name in (("call", "call_edges"), ("import", "import_edges"), ("inherit", "inheritance_edges")):
-        store.append(name, xt.edges(rows, tag))
-    store.append("parse_results", xt.results(rows))
+        store.append(name, repo_id, xt.edges(rows, tag))
+    store.append("parse_results", repo_id, xt.results(rows))
     return xt.results(rows)
 
 
 def build_graph(store: Store, repo_id: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and merged edges of a repository, stored as well."""
-    from codeweft.operators import resolve
-
-    mine = F.col("repo_id") == repo_id
-    nodes = stage(store.read("nodes").where(mine), "graph-nodes")
+    nodes = stage(store.read("nodes", repo_id), "graph-nodes")
+    imports = store.read("import_edges", repo_id).select("repo_id", "source_file", "target_module").where(F.col("target_module").isNotNull()).distinct()
     parts = {
-        "calls": resolve.call_edges(store.read("call_edges").where(mine), nodes),
-        "imports": resolve.import_edges(store.read("import_edges").where(mine).select("repo_id", "source_file", "target_module").where(F.col("target_module").isNotNull()).distinct(), nodes),
-        "inherits": resolve.inheritance_edges(store.read("inheritance_edges").where(mine), nodes),
+        "calls": resolve.call_edges(store.read("call_edges", repo_id), nodes),
+        "imports": resolve.import_edges(imports, nodes),
+        "inherits": resolve.inheritance_edges(store.read("inheritance_edges", repo_id), nodes),
         "defines": resolve.defines_edges(nodes),
     }
     every = None
@@ -86,5 +83,5 @@ def build_graph(store: Store, repo_id: str) -> tuple[DataFrame, DataFrame]:
         df = df.withColumn("type", F.lit(t))
         every = df if every is None else every.unionByName(df)
     edges = stage(graph.merge_edges(every), "graph-edges")
-    store.save_graph(nodes, edges)
+    store.save_graph(repo_id, nodes, edges)
     return nodes, edges

@@ -1,12 +1,14 @@
-"""Versioned Parquet tables in a folder.
+"""Versioned Parquet tables in a folder, one version line per table and repository.
 
-A write makes a new version directory and then switches a pointer by adding a small file, so a reader never sees half a
-table and a failed write leaves the last version in place. Tables are partitioned by repository. Old versions stay
-until `prune`.
+A write makes a new version directory of one repository's part of a table and then switches to it by adding a small
+file, so a reader never sees half a table, a failed write leaves the last version in place, and no other repository is
+touched or read. Old versions stay until `prune`.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote, unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,90 +37,96 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def version(self, name: str) -> int:
-        """The current version of a table, 0 if there is none."""
-        marks = [x for x in list_names(self.spark, f"{self.folder}/{name}/_versions") if x.isdigit()]
+    # --- versions
+
+    def _part(self, name: str, repo_id: str) -> str:
+        return f"{self.folder}/{name}/{quote(repo_id, safe='')}"
+
+    def version(self, name: str, repo_id: str) -> int:
+        """The current version of a repository's part of a table, 0 if there is none."""
+        marks = [x for x in list_names(self.spark, f"{self._part(name, repo_id)}/_versions") if x.isdigit()]
         return int(max(marks, default="0"))
 
-    def exists(self, name: str) -> bool:
-        return self.version(name) > 0
+    def repos(self, name: str) -> list[str]:
+        """Repositories with a version of the table."""
+        return [r for x in list_names(self.spark, f"{self.folder}/{name}") if self.version(name, r := unquote(x))]
 
-    def read(self, name: str) -> DataFrame:
-        """A table, empty if it was never written; columns that older versions lack are null."""
-        v = self.version(name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}/v{v:09d}") if v else self.spark.createDataFrame([], TABLES[name])
+    def read(self, name: str, repo_id: str | None = None) -> DataFrame:
+        """A table, of one repository or all; empty if it was never written. Columns that older versions lack are null."""
+        wanted = self.repos(name) if repo_id is None else [repo_id]
+        paths = [f"{self._part(name, r)}/v{v:09d}" for r in wanted if (v := self.version(name, r))]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """Make `df` the table; it may be derived from the table itself."""
-        v = self.version(name) + 1
+    def write(self, name: str, repo_id: str, df: DataFrame) -> None:
+        """Make the rows of `repo_id` in `df` its part of the table; `df` may be derived from the table itself."""
+        v = self.version(name, repo_id) + 1
         want = self.spark.createDataFrame([], TABLES[name]).schema
         cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want]
-        df.select(*cols).write.mode("overwrite").partitionBy("repo_id").parquet(f"{self.folder}/{name}/v{v:09d}")
-        write_text(self.spark, f"{self.folder}/{name}/_versions/{v:09d}", "")
+        df.where(F.col("repo_id") == repo_id).select(*cols).write.mode("overwrite").parquet(f"{self._part(name, repo_id)}/v{v:09d}")
+        write_text(self.spark, f"{self._part(name, repo_id)}/_versions/{v:09d}", "")
 
-    def prune(self, name: str, keep: int = 2) -> None:
-        v = self.version(name)
-        for x in list_names(self.spark, f"{self.folder}/{name}"):
+    def prune(self, name: str, repo_id: str, keep: int = 2) -> None:
+        v = self.version(name, repo_id)
+        for x in list_names(self.spark, self._part(name, repo_id)):
             if x.startswith("v") and x[1:].isdigit() and int(x[1:]) <= v - keep:
-                delete(self.spark, f"{self.folder}/{name}/{x}")
+                delete(self.spark, f"{self._part(name, repo_id)}/{x}")
 
     # --- elements and edges
 
-    def upsert_nodes(self, new: DataFrame) -> None:
+    def upsert_nodes(self, repo_id: str, new: DataFrame) -> None:
         """Rows replace those of their id; within `new` the last written row of an id holds."""
         rest = [c for c in new.columns if c not in ("repo_id", "id")]
-        last = new.groupBy("repo_id", "id").agg(F.max_by(F.struct(*rest), F.struct("file_path", "ord")).alias("v")).select("repo_id", "id", "v.*")
-        old = self.read("nodes").join(last.select("repo_id", "id"), ["repo_id", "id"], "left_anti")
-        self.write("nodes", old.unionByName(last, allowMissingColumns=True))
-
-    def append(self, name: str, new: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(new, allowMissingColumns=True))
-
-    def delete_files(self, gone: DataFrame) -> None:
-        """Remove everything of the files in `gone` (repo_id, file_path): elements, edges from them, and the inheritance
-        and reference edges of their elements."""
-        gone = gone.select("repo_id", "file_path").distinct()
-        ids = self.read("nodes").join(gone, ["repo_id", "file_path"], "left_semi").select("repo_id", "id")
+        last = new.where(F.col("repo_id") == repo_id).groupBy("repo_id", "id").agg(F.max_by(F.struct(*rest), F.struct("file_path", "ord")).alias("v")).select("repo_id", "id", "v.*")
+        old = self.read("nodes", repo_id).join(last.select("id"), "id", "left_anti")
+        self.write("nodes", repo_id, old.unionByName(last, allowMissingColumns=True))
+
+    def append(self, name: str, repo_id: str, new: DataFrame) -> None:
+        self.write(name, repo_id, self.read(name, repo_id).unionByName(new, allowMissingColumns=True))
+
+    def delete_files(self, repo_id: str, gone: DataFrame) -> None:
+        """Remove everything of the files in `gone` (file_path): elements, edges from them, and the inheritance and
+        reference edges of their elements."""
+        gone = gone.select("file_path").distinct()
+        ids = self.read("nodes", repo_id).join(gone, "file_path", "left_semi").select("id")
         for name, key in (("inheritance_edges", "child_id"), ("reference_edges", "source_id")):
-            if self.exists(name):
-                self.write(name, self.read(name).join(ids.withColumnRenamed("id", key), ["repo_id", key], "left_anti"))
+            if self.version(name, repo_id):
+                self.write(name, repo_id, self.read(name, repo_id).join(ids.withColumnRenamed("id", key), key, "left_anti"))
         for name, key in reversed(FILE_KEY.items()):
-            if self.exists(name):
-                self.write(name, self.read(name).join(gone.withColumnRenamed("file_path", key), ["repo_id", key], "left_anti"))
+            if self.version(name, repo_id):
+                self.write(name, repo_id, self.read(name, repo_id).join(gone.withColumnRenamed("file_path", key), key, "left_anti"))
 
     def nodes_of_file(self, repo_id: str, path: str) -> DataFrame:
-        return self.read("nodes").where((F.col("repo_id") == repo_id) & (F.col("file_path") == path))
+        return self.read("nodes", repo_id).where(F.col("file_path") == path)
 
     def nodes_of_kind(self, repo_id: str, kind: str) -> DataFrame:
-        return self.read("nodes").where((F.col("repo_id") == repo_id) & (F.col("kind") == kind))
+        return self.read("nodes", repo_id).where(F.col("kind") == kind)
 
     def children(self, repo_id: str, parent_id: str) -> DataFrame:
-        return self.read("nodes").where((F.col("repo_id") == repo_id) & (F.col("parent_id") == parent_id))
+        return self.read("nodes", repo_id).where(F.col("parent_id") == parent_id)
 
     def find_by_name(self, repo_id: str, name: str) -> DataFrame:
         """Nodes by name, upper and lower case alike."""
-        return self.read("nodes").where((F.col("repo_id") == repo_id) & (F.lower("name") == name.lower()))
+        return self.read("nodes", repo_id).where(F.lower("name") == name.lower())
 
     # --- files
 
     def snapshot(self, repo_id: str) -> DataFrame:
         """path, sha256 of the stored files."""
-        return self.read("files").where(F.col("repo_id") == repo_id).select("path", "sha256")
+        return self.read("files", repo_id).select("path", "sha256")
 
     def records(self, repo_id: str) -> DataFrame:
-        return self.read("files").where(F.col("repo_id") == repo_id).withColumn("status", F.lit("unchanged"))
+        return self.read("files", repo_id).withColumn("status", F.lit("unchanged"))
 
     # --- graph
 
-    def save_graph(self, nodes: DataFrame, edges: DataFrame) -> None:
-        self.write("graph_nodes", nodes)
-        self.write("graph_edges", edges)
+    def save_graph(self, repo_id: str, nodes: DataFrame, edges: DataFrame) -> None:
+        self.write("graph_nodes", repo_id, nodes)
+        self.write("graph_edges", repo_id, edges)
 
     def load_graph(self, repo_id: str) -> tuple[DataFrame, DataFrame] | None:
-        if not self.exists("graph_nodes"):
+        if not self.version("graph_nodes", repo_id):
             return None
-        mine = F.col("repo_id") == repo_id
-        return self.read("graph_nodes").where(mine), self.read("graph_edges").where(mine)
+        return self.read("graph_nodes", repo_id), self.read("graph_edges", repo_id)
 
 
 LISTS = ("children", "typed_parameters", "parameters", "calls", "imports", "bases", "decorators", "ref_names")

@@ -1,7 +1,7 @@
 """A stream of listed files kept up to date: each micro-batch is taken through the manifest by its batch id.
 
 The manifest drops what was taken before with the same checksum, writes the rest under the batch id and commits it, so a
-batch that Spark repeats after a failure is written once. What a batch took is handed on to `then`.
+batch that Spark repeats after a failure is written once. What a batch took is handed on to `then`. Batch ids belong to a checkpoint: a new checkpoint needs a new manifest folder.
 """
 
 from __future__ import annotations

@@ -58,3 +58,15 @@ def test_empty(spark, some):
     f = files(spark, [("r", "a", "1", 1, T)] if some else [])
     assert replay_runs(f, runs(spark, [])).count() == 0
     assert replay_runs(f, runs(spark, [(1, T + D, "succeeded")])).count() == int(some)
+
+
+def test_states_stand_for_the_batches_before(spark, tmp_path):
+    m = Manifest(spark, f"file://{tmp_path}/m")
+    for k in range(4):
+        m.process(k, latest_rows(files(spark, [("r", "a", str(k), 1, T), ("r", f"p{k}", "x", 1, T)])))
+    want = rows(m.last_taken(), "path", "sha256")
+    m.compact()
+    assert m.state_seq() == 4 and rows(m.last_taken(), "path", "sha256") == want
+    m.process(9, latest_rows(files(spark, [("r", "a", "3", 1, T), ("r", "p1", "y", 1, T)])))
+    assert rows(m.batches().where("run_id = 9"), "path", "sha256") == [("p1", "y")]
+    assert ("p1", "y") in rows(m.last_taken(), "path", "sha256") and len(rows(m.last_taken())) == 5

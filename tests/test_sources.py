@@ -68,7 +68,7 @@ def test_incremental_phases(spark, tmp_path):
     assert {r.status for r in first.files.collect()} == {"new"}
     pipeline.parse(store, first)
     first.commit(store)
-    before = store.version("nodes")
+    before = store.version("nodes", "repo")
     assert before and rows(store.find_by_name("repo", "LOGINVIEW"), "name") == [("LoginView",)]
     again = pipeline.ingest(spark, store, str(root))
     assert {r.status for r in again.files.collect()} == {"unchanged"} and again.texts.count() == 0
@@ -85,7 +85,7 @@ def test_incremental_phases(spark, tmp_path):
     assert store.nodes_of_kind("repo", "class").count() == 1 and store.snapshot("repo").where("path = 'src/utils.py'").count() == 0
     nodes, edges = pipeline.build_graph(store, "repo")
     assert edges.where("type = 'defines'").count() == 4 and store.load_graph("repo")[0].count() == nodes.count()
-    store.prune("nodes", 1)
+    store.prune("nodes", "repo", 1)
     assert store.read("nodes").count() == nodes.count()
     forced = pipeline.ingest(spark, store, str(root), force=True)
     assert {r.status for r in forced.files.collect()} == {"new"}
@@ -95,13 +95,16 @@ def test_store_rules(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     assert store.read("nodes").count() == 0 and store.load_graph("r") is None
     one = lambda name, ord_: spark.createDataFrame([("r", ord_, "i", name, "f.py", ["k"])], "repo_id string, ord long, id string, name string, file_path string, calls array<string>")
-    store.upsert_nodes(one("foo", 1).union(one("foo_later", 2)))
+    store.upsert_nodes("r", one("foo", 1).union(one("foo_later", 2)))
     assert rows(store.read("nodes"), "id", "name") == [("i", "foo_later")]
-    store.upsert_nodes(one("foo_updated", 1))
+    store.upsert_nodes("r", one("foo_updated", 1))
     assert rows(store.read("nodes"), "id", "name") == [("i", "foo_updated")]
-    store.append("inheritance_edges", spark.createDataFrame([("r", 1, "i", "P", None, "inherits")], "repo_id string, ord long, child_id string, parent_name string, parent_id string, kind string"))
-    store.delete_files(spark.createDataFrame([("r", "f.py")], "repo_id string, file_path string"))
+    store.append("inheritance_edges", "r", spark.createDataFrame([("r", 1, "i", "P", None, "inherits")], "repo_id string, ord long, child_id string, parent_name string, parent_id string, kind string"))
+    store.delete_files("r", spark.createDataFrame([("f.py",)], "file_path string"))
     assert store.read("nodes").count() == 0 and store.read("inheritance_edges").count() == 0
+    other = one("x", 1).withColumn("repo_id", F.lit("o/ther"))
+    store.upsert_nodes("o/ther", other.union(one("not mine", 1)))
+    assert store.repos("nodes") == ["o/ther", "r"] and rows(store.read("nodes"), "repo_id", "name") == [("o/ther", "x")]
 
 
 def test_json(spark):

@@ -14,6 +14,7 @@ all rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -191,12 +192,14 @@ def length_limits(endings: DataFrame, neighbours: int = NEIGHBOURS, rate: float
     h = h.withColumn("hazard", F.col("n") / F.col("risk"))
     q, p = F.col("hazard"), F.least(F.col("around"), F.lit(0.999))
     kl = q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
-    tested = h.withColumn("logp", F.when(q > p, -F.col("risk") * kl).otherwise(0.0))
-    order = Window.orderBy("logp")
-    ranked = tested.withColumn("k", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.partitionBy()))
-    passed = ranked.withColumn("ok", F.col("logp") <= F.log(F.col("k") * rate / F.col("m")))
-    last = F.max(F.when(F.col("ok"), F.col("k"))).over(Window.partitionBy())
-    return passed.withColumn("last", last).where((F.col("k") <= F.col("last")) & (F.col("length") >= LEAST_LIMIT)).select("source", "measure", "length", "n", "hazard", "around")
+    tested = stage(h.withColumn("logp", F.when(q > p, -F.col("risk") * kl).otherwise(0.0)), "hazards")
+    # Only p-values up to the rate itself can pass, so the ranking is over those few; how many tests there were is a number.
+    m = max(tested.count(), 1)
+    order = Window.orderBy("logp", "source", "measure", "length")
+    ranked = tested.where(F.col("logp") <= math.log(rate)).withColumn("k", F.row_number().over(order))
+    last = F.max(F.when(F.col("logp") <= F.log(F.col("k") * rate / m), F.col("k"))).over(Window.partitionBy())
+    passed = ranked.withColumn("last", last).where((F.col("k") <= F.col("last")) & (F.col("length") >= LEAST_LIMIT))
+    return passed.select("source", "measure", "length", "n", "hazard", "around")
 
 
 def truncation_evidence(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,8 @@ def source_plan(sized: DataFrame, targets: DataFrame, total: int | None = None,
     goals = targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     every = Window.partitionBy()
     p = goals.join(avail, "source").where("available > 0")
-    p = p.withColumn("share", F.col("target_share") / F.sum("target_share").over(every))
+    # Sums of doubles depend on their order; rounded, every run gives the same plan.
+    p = p.withColumn("share", F.round(F.col("target_share") / F.sum("target_share").over(every), 12))
     most = F.min(F.col("available") * F.col("max_repeats") / F.col("share")).over(every)
     p = p.withColumn("total", F.least(most, F.lit(float(total))) if total is not None else most)
     p = p.withColumn("demand", F.floor(F.col("share") * F.col("total")).cast("long"))
@@ -40,7 +41,7 @@ def source_plan(sized: DataFrame, targets: DataFrame, total: int | None = None,
     order = F.percent_rank().over(Window.orderBy("mean_tokens", "source"))
     p = p.withColumn("raw", order)
     p = p.withColumn("raw", F.col("raw") - F.sum(F.col("raw") * F.col("share")).over(every))
-    return p.withColumn("slope", F.col("raw") * F.lit(tilt) / F.greatest(F.max(F.abs("raw")).over(every), F.lit(1e-9))).drop("raw", "mean_tokens")
+    return p.withColumn("slope", F.round(F.col("raw") * F.lit(tilt) / F.greatest(F.max(F.abs("raw")).over(every), F.lit(1e-9)), 9)).drop("raw", "mean_tokens")
 
 
 def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, tilt: float = TILT, seed: int = 17, **tokenizer) -> DataFrame:

@@ -48,6 +48,9 @@ _FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.MULTILINE)
 _WORD = re.compile(r"`[^`\n]*`|https?://\S+|[\w.-]*/[\w./-]*\w|[A-Z][A-Z_]+-?\d+|\d[\d.,:%×/x]*|[぀-ヿ㐀-鿿가-힯]|[^\W\d_][\w'’-]*")
 _NEXT = re.compile(r"[\"'”’»)\]）」』*_]*(?:[ ]?(?:\.{3,}|…)|[.!?。！？｡؟।](?=[\s\"'”’»)\]）」』*_]|$|[^\x00-\x7f])|[。！？]|[ \t]*(?:\r?\n|$))")
 
+#: A word and, where it ends a sentence or line, what follows.
+_ENDED = re.compile(rf"({_WORD.pattern})(?:(?=({_NEXT.pattern})))?")
+
 
 def _key(word: str) -> str:
     c = word[0]
@@ -76,22 +79,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
     ends: Counter = Counter()
     last: Counter = Counter()
+    keys: dict[str, str] = {}
     for b in batches:
         for text in b.column(0).to_pylist():
             if m := _mark(text):
                 text = text[: m.start()]
-            before = key = ""
-            for key, _, stop in _words(text):
-                pair = f"{before} {key}"
-                seen[key] += 1
-                seen[pair] += 1
-                if _NEXT.match(text, stop) is not None:
-                    ends[key] += 1
-                    ends[pair] += 1
-                before, pair_last = key, pair
-            if key:
-                last[key] += 1
-                last[pair_last] += 1
+            # The line end behind the text makes its last word an end like one before any other line end.
+            found = _ENDED.findall(text + "\n")
+            if not found:
+                continue
+            words = []
+            for w, _ in found:
+                k = keys.get(w)
+                if k is None:
+                    if len(keys) > 500_000:
+                        keys.clear()
+                    k = keys[w] = _key(w)
+                words.append(k)
+            pairs = [f"{x} {y}" for x, y in zip(["", *words], words)]
+            seen.update(words)
+            seen.update(pairs)
+            ended = [i for i, (_, e) in enumerate(found) if e]
+            ends.update([words[i] for i in ended])
+            ends.update([pairs[i] for i in ended])
+            last[words[-1]] += 1
+            last[pairs[-1]] += 1
         if len(seen) > 500_000:
             yield _counted(seen, ends, last)
             seen, ends, last = Counter(), Counter(), Counter()

@@ -17,8 +17,6 @@ BAD, INNER = "\x02", "\x01"
 MEMO = 100_000
 #: Errors kept per file.
 MOST_ERRORS = 50
-#: Depth of nesting beyond which a text is refused, so that no input can exhaust the stack.
-MAX_DEPTH = 120
 
 
 class SyntaxFault(Exception):
@@ -44,6 +42,21 @@ def ident_pattern(keep: frozenset[str], dollar: bool = False) -> re.Pattern:
     return re.compile(rf"(?<![{letters}])(?!(?:{'|'.join(sorted(keep))})(?![{letters}])){first}[{letters}]*")
 
 
+def levels(toks: list, most: int) -> bool:
+    """Are brackets nested deeper than `most`?"""
+    if len(toks) <= most:
+        return False
+    depth = 0
+    for t in toks:
+        if t in ("(", "[", "{"):
+            depth += 1
+            if depth > most:
+                return True
+        elif t in (")", "]", "}"):
+            depth -= 1
+    return False
+
+
 def inner(text: str) -> str:
     return INNER * text.count("\n")
 
@@ -56,7 +69,7 @@ class Parser:
     sync: frozenset[str] = frozenset()
 
     def __init__(self, toks: list, starts: list[int] | None = None):
-        self.t, self.i, self.depth = toks, 0, 0
+        self.t, self.i = toks, 0
         self.starts, self.errors = starts, []
 
     # --- tokens
@@ -85,11 +98,6 @@ class Parser:
         shown = {"": "end of input", BAD: "a character or token the language doesn't have", "n": "a name", "0": "a number", '"': "a string", "\n": "end of line"}.get(t, repr(t))
         raise SyntaxFault(f"{why}, found {shown}")
 
-    def down(self) -> None:
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            raise SyntaxFault("nested too deeply")
-
     # --- errors
 
     def line(self) -> int:
@@ -110,7 +118,7 @@ class Parser:
 
     def guarded(self, rule) -> None:
         """Run a statement rule; without line starts (the quick pass) the first error ends the parse."""
-        at, depth = self.i, self.depth
+        at = self.i
         try:
             rule()
         except SyntaxFault as e:
@@ -118,7 +126,6 @@ class Parser:
                 raise
             self.note(str(e))
             self.recover(at)
-        self.depth = depth
 
 
 class Shaper:
@@ -138,7 +145,7 @@ class Shaper:
                 p.simple_only()
                 if p.i >= len(p.t) - 1:
                     return [Stmt(toks)]
-            except (SyntaxFault, RecursionError):
+            except SyntaxFault:
                 pass
         return toks
 
@@ -174,16 +181,12 @@ class Shaper:
             return []
         except SyntaxFault:
             pass
-        except RecursionError:
-            return ["line 0: nested too deeply"]
         toks, starts = self.detailed(shape)
         slow = self.parser(toks, starts)
         try:
             slow.file()
         except SyntaxFault as e:
             slow.note(str(e))
-        except RecursionError:
-            slow.note("nested too deeply")
         return slow.errors or ["line 0: not a text of this language"]
 
 

@@ -170,7 +170,6 @@ class Go(Parser):
             self.fail("expected a type")
 
     def type_maybe(self) -> bool:
-        self.down()
         t = self.k()
         found = True
         if t == "n":
@@ -235,7 +234,6 @@ class Go(Parser):
             self.i += 1
         else:
             found = False
-        self.depth -= 1
         return found
 
     def field(self) -> None:
@@ -314,9 +312,7 @@ class Go(Parser):
 
     def block(self) -> None:
         self.need("{")
-        self.down()
         self.statements()
-        self.depth -= 1
         self.need("}")
 
     def statements(self) -> None:
@@ -333,7 +329,6 @@ class Go(Parser):
         self.end()
 
     def statement(self) -> None:
-        self.down()
         t = self.k()
         rule = _STATEMENTS.get(t)
         if rule:
@@ -351,7 +346,6 @@ class Go(Parser):
                 self.statement()
         else:
             self.simple()
-        self.depth -= 1
 
     def simple(self, ranged: bool = False) -> bool:
         """An expression, assignment, send or count; true when it was a range clause."""
@@ -477,7 +471,6 @@ class Go(Parser):
 
     def clauses(self, rule) -> None:
         self.need("{")
-        self.down()
         while not self.take("}"):
             if self.take("case"):
                 level, self.level = self.level, 0
@@ -487,7 +480,6 @@ class Go(Parser):
                 self.fail("expected 'case'")
             self.need(":")
             self.statements()
-        self.depth -= 1
 
     # --- expressions
 
@@ -515,9 +507,7 @@ class Go(Parser):
                 self.type_()
                 return self.operand_rest(TYPE)
             self.i += 1
-            self.down()
             self.unary()
-            self.depth -= 1
             return TARGET if t == "*" else CALL if t == "<-" else VALUE
         return self.operand_rest(self.operand())
 
@@ -531,10 +521,8 @@ class Go(Parser):
             return VALUE
         if t == "(":
             self.i += 1
-            self.down()
             kind = self.inner_expression()
             self.need(")")
-            self.depth -= 1
             return kind if kind in (TARGET, CALL) else TARGET if kind == NAME else VALUE
         if t == "func":
             self.i += 1
@@ -549,7 +537,6 @@ class Go(Parser):
         self.fail("expected an expression")
 
     def operand_rest(self, kind: int) -> int:
-        self.down()
         while True:
             t = self.k()
             if t == ".":
@@ -573,7 +560,6 @@ class Go(Parser):
                 self.composite()
                 kind = VALUE
             else:
-                self.depth -= 1
                 return kind
 
     def index(self) -> None:
@@ -608,14 +594,12 @@ class Go(Parser):
     def composite(self) -> None:
         level, self.level = self.level, 0
         self.need("{")
-        self.down()
         while self.k() != "}":
             self.element()
             if self.take(":"):
                 self.element()
             if not self.take(","):
                 break
-        self.depth -= 1
         self.level = level
         self.need("}")
 
@@ -644,7 +628,7 @@ class GoShaper(Shaper):
             try:
                 p.simple_only()
                 return [Stmt(toks)]
-            except (SyntaxFault, RecursionError):
+            except SyntaxFault:
                 pass
         return toks
 

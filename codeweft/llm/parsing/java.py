@@ -205,9 +205,7 @@ class Java(Parser):
 
     def class_body(self) -> None:
         self.need("{")
-        self.down()
         self.members()
-        self.depth -= 1
         self.i += 1
 
     def members(self) -> None:
@@ -350,7 +348,6 @@ class Java(Parser):
 
     def type_args(self) -> None:
         self.need("<")
-        self.down()
         if not self.take(">"):
             while True:
                 self.annotations()
@@ -365,7 +362,6 @@ class Java(Parser):
                 if not self.take(","):
                     break
             self.need(">")
-        self.depth -= 1
 
     # --- statements
 
@@ -379,12 +375,10 @@ class Java(Parser):
 
     def block(self) -> None:
         self.need("{")
-        self.down()
         while (t := self.t[self.i]) != "}":
             if t == "":
                 self.fail("expected '}'")
             self.guarded(self.statement)
-        self.depth -= 1
         self.i += 1
 
     def statement(self, alone: bool = False) -> None:
@@ -392,7 +386,6 @@ class Java(Parser):
         if t.__class__ is Stmt:
             self.i += 1
             return
-        self.down()
         rule = _STATEMENTS.get(t)
         if rule:
             self.i += 1
@@ -412,7 +405,6 @@ class Java(Parser):
             self.switch()
         else:
             self.local_or_expression()
-        self.depth -= 1
 
     def local_or_expression(self) -> None:
         at = self.i
@@ -440,14 +432,14 @@ class Java(Parser):
             return True
         if n not in ("<", ".", "["):
             return False
-        at, depth = self.i, self.depth
+        at = self.i
         try:
             self.type_()
             return self.k() in _NAMES
         except SyntaxFault:
             return False
         finally:
-            self.i, self.depth = at, depth
+            self.i = at
 
     def condition(self) -> None:
         self.need("(")
@@ -563,7 +555,6 @@ class Java(Parser):
         self.need("switch")
         self.condition()
         self.need("{")
-        self.down()
         while self.k() != "}":
             if self.take("case"):
                 while True:
@@ -587,7 +578,6 @@ class Java(Parser):
                 self.need(":")
                 while self.t[self.i] not in ("case", "default", "}", ""):
                     self.guarded(self.statement)
-        self.depth -= 1
         self.i += 1
 
     def case_label(self) -> None:
@@ -613,7 +603,6 @@ class Java(Parser):
     # --- expressions
 
     def expression(self) -> int:
-        self.down()
         kind = self.ternary()
         t = self.k()
         if t in _ASSIGN or t == ">" and self.shift_assign():
@@ -625,7 +614,6 @@ class Java(Parser):
             kind = ACTION
         elif kind == TARGET:
             kind = VALUE
-        self.depth -= 1
         return kind
 
     def shift_assign(self) -> bool:
@@ -654,6 +642,8 @@ class Java(Parser):
         if t in _NAMES and self.at(1) == "->":
             self.i += 2
         elif t == "(":
+            if self.at(1) == "(":
+                return False
             j, depth = self.i, 0
             while True:
                 x = self.t[j]
@@ -732,9 +722,7 @@ class Java(Parser):
             return ACTION
         if t in ("+", "-", "!", "~"):
             self.i += 1
-            self.down()
             self.unary()
-            self.depth -= 1
             return VALUE
         if t == "(" and self.cast():
             return VALUE
@@ -750,7 +738,7 @@ class Java(Parser):
         n = self.at(1)
         if n not in PRIMITIVES and n not in _NAMES and n != "@":
             return False
-        at, depth = self.i, self.depth
+        at = self.i
         self.i += 1
         try:
             self.type_()
@@ -765,7 +753,7 @@ class Java(Parser):
         except SyntaxFault:
             if self.k() == "":
                 raise
-        self.i, self.depth = at, depth
+        self.i = at
         return False
 
     def arguments(self) -> None:
@@ -775,7 +763,6 @@ class Java(Parser):
             self.need(")")
 
     def postfix(self) -> int:
-        self.down()
         kind = self.primary()
         while True:
             t = self.k()
@@ -818,21 +805,20 @@ class Java(Parser):
                     self.ident()
                 kind = VALUE
             else:
-                self.depth -= 1
                 return kind
 
     def primary(self) -> int:
         t = self.k()
         if t in _NAMES:
             if self.at(1) == "<":
-                at, depth = self.i, self.depth
+                at = self.i
                 try:
                     self.type_()
                     if self.k() == "::":
                         return VALUE
                 except SyntaxFault:
                     pass
-                self.i, self.depth = at, depth
+                self.i = at
             self.i += 1
             return TARGET
         if t in ('"', "0", "this", "super", "null", "true", "false"):

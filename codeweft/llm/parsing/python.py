@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 
-from codeweft.llm.parsing.base import BAD, INNER, MEMO, Parser, SyntaxFault, ident_pattern, inner, words
+from codeweft.llm.parsing.base import BAD, INNER, MEMO, Parser, SyntaxFault, ident_pattern, inner, levels, words
 
 KEYWORDS = words(
     "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
 )
 #: Words that are keywords only where a statement begins so.
 SOFT = words("match case type")
+#: Brackets within brackets that Python itself takes.
+MOST_BRACKETS = 200
 
 _SCAN = re.compile(
     r'''#[^\n]*|(?<![^\W])(?:[rRbBuUfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?(?:"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^'\\]|\\.|'(?!''))*\'\'\'|"(?!"")(?:[^"\\\n]|\\.)*"|'(?!'')(?:[^'\\\n]|\\.)*'|""(?!")|\'\'(?!'))|\\\n|["'\x01\x02]''',
@@ -82,7 +84,6 @@ class Line(Parser):
     # --- expressions
 
     def test(self) -> str:
-        self.down()
         if self.k() == "lambda":
             self.i += 1
             self.params(":", False)
@@ -97,7 +98,6 @@ class Line(Parser):
                 self.need("else")
                 self.test()
                 kind = OTHER
-        self.depth -= 1
         return kind
 
     def or_test(self) -> str:
@@ -148,7 +148,6 @@ class Line(Parser):
         return kind
 
     def primary(self) -> str:
-        self.down()
         waits = self.take("await")
         kind = self.atom()
         while True:
@@ -167,7 +166,6 @@ class Line(Parser):
                 kind = REF
             else:
                 break
-        self.depth -= 1
         return OTHER if waits else kind
 
     def atom(self) -> str:
@@ -591,14 +589,12 @@ class Line(Parser):
                 return
 
     def pattern(self) -> None:
-        self.down()
         self.take("*")
         self.closed()
         while self.take("|"):
             self.closed()
         if self.take("as"):
             self.name()
-        self.depth -= 1
 
     def closed(self) -> None:
         t = self.k()
@@ -717,13 +713,13 @@ def _read(text: str) -> tuple[str, bool, str | None]:
             return "", False, bad
         line = Line([*_TOKEN.findall(text), "", "", ""])
         try:
+            if levels(line.t, MOST_BRACKETS):
+                raise SyntaxFault("too many nested brackets")
             got = (*line.header(), None)
         except SyntaxFault as e:
             opens = text.endswith(":")
             first = line.t[0]
             got = (first if first in _HEADS and opens else "", opens and first in _HEADS, str(e))
-        except RecursionError:
-            got = ("", False, "nested too deeply")
         _PIECES[text] = got
     return got
 

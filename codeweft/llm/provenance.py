@@ -64,12 +64,15 @@ _LITERAL = re.compile(r"""0x[0-9a-fA-F]+|(?<![\w.])-?\d+(?:\.\d+)?(?:[eE][-+]?\d
 _ROUTINE = re.compile(r"(?m)^\s*(?:def\s|async\s|func\s|function\b|class\s+\w+[^\n]*:\s*$)|=>|\breturn\b|\bfunction\s*\(|\blambda\b")
 
 
+_LINE = re.compile(r"[^\n]+")
+
+
 def _header(text: str) -> str:
     """The comment lines before the first line of code."""
     out = []
     inside = ""
-    for line in text.split("\n", 60)[:60]:
-        s = line.strip()
+    for m in _LINE.finditer(text):
+        s = m[0].strip()
         if inside:
             out.append(s)
             if inside in s:

@@ -3,6 +3,7 @@
 import pytest
 
 from codeweft.llm.parsing import check
+from codeweft.llm.provenance import evidence
 
 DEEP = 1_500
 CHAIN = " else ".join(f"if (a == {k}) {{ f(); }}" for k in range(DEEP))
@@ -23,3 +24,11 @@ def test_long_chains_and_deep_nesting(path, text):
 
 def test_python_takes_200_brackets():
     assert check("x.py", "a = " + "(" * 201 + "1" + ")" * 201 + "\n")[1] == ["line 1: too many nested brackets"]
+
+
+@pytest.mark.parametrize("mark", ["Code generated by protoc. DO NOT EDIT.", "Copyright 2019 The Foo Authors"])
+def test_marks_late_in_the_opening_comment(mark):
+    licence = [f"term {k} of the licence" for k in range(200)]
+    assert evidence("a/b.go", "/*\n" + "\n".join(licence) + f"\n{mark}\n*/\npackage a\n")
+    assert evidence("a/b.go", "".join(f"// {x}\n" for x in licence) + f"\n// {mark}\npackage a\n")
+    assert evidence("a/b.go", "".join(f"// {x}\n" for x in licence) + f"package a\n\n// {mark}\n") is None

@@ -59,6 +59,9 @@ _THIRD_PARTY_HEADER = re.compile(
 #: Routines with numbers of the same width for names, counted up without a gap: so many are never written by hand.
 NUMBERED_ROUTINES = 16
 _NUMBERED = re.compile(r"\b(?:def|func|function|const|let|var|void|[\w>\]]+)\s+[A-Za-z_]+?_?(\d{2,})\s*(?:=\s*(?:async\s*)?)?\(|^\s+[A-Za-z_]+?_?(\d{2,})\([^)]*\)[^;\n]*\{", re.MULTILINE)
+#: What names a bundle's source map, which may itself stand behind it: in the last line, or as a comment up to a line's end.
+_MAP = "sourceMappingURL="
+_MAP_COMMENT = re.compile(rf"(?://|/\*)[#@]\s*{_MAP}[^\s'\"`]+\s*(?:\*/)?[^\S\n]*$", re.MULTILINE)
 _COMMENT = re.compile(r"^\s*(?:#|//|/?\*|--|<!--|\"\"\"|''')")
 _LITERAL = re.compile(r"""0x[0-9a-fA-F]+|(?<![\w.])-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""")
 _ROUTINE = re.compile(r"(?m)^\s*(?:def\s|async\s|func\s|function\b|class\s+\w+[^\n]*:\s*$)|=>|\breturn\b|\bfunction\s*\(|\blambda\b")
@@ -119,7 +122,7 @@ def evidence(path: str, text: str) -> str | None:
         seen = {int(n) for n in numbers if len(n) == width}
         if len(seen) >= NUMBERED_ROUTINES and max(seen) - min(seen) + 1 == len(seen):
             return "generated, by layout"
-    if _MINIFIED_NAME.search(stem) or "sourceMappingURL=" in text[-300:] and longest >= MINIFIED_LINE:
+    if _MINIFIED_NAME.search(stem) or longest >= MINIFIED_LINE and _MAP in text and (_MAP in lines[-1] or _MAP_COMMENT.search(text)):
         return "minified"
     return None
 

@@ -32,3 +32,11 @@ def test_marks_late_in_the_opening_comment(mark):
     assert evidence("a/b.go", "/*\n" + "\n".join(licence) + f"\n{mark}\n*/\npackage a\n")
     assert evidence("a/b.go", "".join(f"// {x}\n" for x in licence) + f"\n// {mark}\npackage a\n")
     assert evidence("a/b.go", "".join(f"// {x}\n" for x in licence) + f"package a\n\n// {mark}\n") is None
+
+
+def test_inline_source_map():
+    code = "".join(f"var a{k % 7} = b.c({k});\n" for k in range(400))
+    inline = "//# sourceMappingURL=data:application/json;base64," + "eyJ2" * 1_000
+    for end in (f"{inline}\n", f"{inline}\n\n// end\n" + "f();\n" * 100, f"d();{inline}\n{'f();' * 100}\n", f"/*{inline[2:]} */\n"):
+        assert evidence("a/app.js", code + end) == "minified"
+    assert evidence("a/app.js", code + 'd("//# sourceMappingURL=" + e);\nf("' + "x" * 500 + '");\ng();\n') is None

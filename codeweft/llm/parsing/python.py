@@ -15,7 +15,7 @@ SOFT = words("match case type")
 MOST_BRACKETS = 200
 
 _SCAN = re.compile(
-    r'''#[^\n]*|(?<![^\W])(?:[rRbBuUfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?(?:"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^'\\]|\\.|'(?!''))*\'\'\'|"(?!"")(?:[^"\\\n]|\\.)*"|'(?!'')(?:[^'\\\n]|\\.)*'|""(?!")|\'\'(?!'))|\\\n|["'\x01\x02]''',
+    r'''#[^\n]*|(?<![^\W])(?:[rRbBuUfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?(?:"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^'\\]|\\.|'(?!''))*\'\'\'|"(?!"")(?:[^"\\\n]|\\.)*"|'(?!'')(?:[^'\\\n]|\\.)*'|""(?!")|\'\'(?!'))|\\\n|["'\x01-\x06]''',
     re.DOTALL,
 )
 _IDENT = ident_pattern(KEYWORDS | SOFT)
@@ -26,6 +26,14 @@ _BAD_NUMBER = re.compile(r"(?<!\w)\d\w*")
 _TOKEN = re.compile(r"\*\*=|//=|>>=|<<=|\.\.\.|\*\*|//|>>|<<|<=|>=|==|!=|->|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|:=|[^\W\d]\w*|\S")
 
 
+_OPENING = re.compile(r"""(?<![^\W])(?:[fFtT][rR]?|[rR][fFtT])(?:\"{3}|\'{3}|"|')""")
+_STEP = re.compile(_OPENING.pattern + "|" + _SCAN.pattern, re.DOTALL)
+_FIELD_STEP = re.compile(_STEP.pattern + r"|[=!<>]=|=(?=\s*[!:}])|[()\[\]{}:!\n]", re.DOTALL)
+#: Begin and end of a replacement field in a formatted string.
+FIELD, FIELD_END = "\x05", "\x06"
+_CLOSING = {")": "(", "]": "[", "}": "{"}
+
+
 def _string(m: re.Match) -> str:
     s = m[0]
     c = s[0]
@@ -33,33 +41,126 @@ def _string(m: re.Match) -> str:
         return ""
     if c == "\\":
         return " " + INNER
-    if s in ('"', "'", "\x01", "\x02"):
+    if len(s) == 1:
         return BAD
     head = re.match(r"[A-Za-z]*", s)[0].lower()
-    if ("f" in head or "t" in head) and not _braces_fit(s):
-        return BAD
     return ('\x04' if "b" in head else '"') + inner(s)
 
 
-def _braces_fit(s: str) -> bool:
-    depth = 0
-    for c in re.findall(r"\{\{|\}\}|\{|\}", s) if "{" in s or "}" in s else ():
-        if c == "{":
-            depth += 1
-        elif c == "{{":
-            depth += 2 * (depth > 0)
-        elif c == "}}":
-            depth -= 2 * (depth > 1)
-        elif depth:
-            depth -= 1
+def _formatted(text: str, m: re.Match, out: list[str]) -> int:
+    """Read a formatted string: a string and its fields are written to `out`. If it isn't whole, a bad token in the place of what a plain string would take."""
+    part = ['"']
+    quote = m[0].lstrip("fFtTrR")
+    end = _parts(text, m.end(), quote, "r" in m[0].lower(), part, False)
+    if end is None:
+        plain = _SCAN.match(text, m.start())
+        out.append(BAD + inner(plain[0] if plain else ""))
+        return plain.end() if plain else m.end()
+    out += part
+    return end
+
+
+def _parts(text: str, pos: int, quote: str, raw: bool, out: list[str], spec: bool) -> int | None:
+    """Literal text and fields up to past the quote, or in a format specification up to its brace; None when that is missing."""
+    while pos < len(text):
+        c = text[pos]
+        if text.startswith(quote, pos):
+            return None if spec else pos + len(quote)
+        if c == "\\":
+            if not raw and text.startswith("N{", pos + 1):
+                pos = text.find("}", pos) + 1
+                if not pos:
+                    return None
+            else:
+                pos += 1
+                if text[pos : pos + 1] == "\n":
+                    out.append(INNER)
+                pos += text[pos : pos + 1] not in ("{", "}")
+        elif c == "\n":
+            if len(quote) == 1:
+                return None
+            out.append(INNER)
+            pos += 1
+        elif c == "}":
+            if spec:
+                return pos
+            if text[pos + 1 : pos + 2] != "}":
+                return None
+            pos += 2
+        elif c == "{":
+            if not spec and text[pos + 1 : pos + 2] == "{":
+                pos += 2
+                continue
+            pos = _field(text, pos + 1, quote, raw, out)
+            if pos is None:
+                return None
         else:
-            return False
-    return depth == 0
+            pos = _LITERAL.match(text, pos).end()
+    return None
+
+
+_LITERAL = re.compile(r"""[^\\\n{}"']+|["']""")
+_CONVERSION = re.compile(r"![rsa]\s*(?=[:}])")
+
+
+def _field(text: str, pos: int, quote: str, raw: bool, out: list[str]) -> int | None:
+    """A replacement field from behind its brace to past the closing one."""
+    opened: list[str] = []
+    out.append(FIELD)
+    while m := _FIELD_STEP.search(text, pos):
+        s = m[0]
+        out.append(text[pos : m.start()])
+        pos = m.end()
+        if s in ("(", "[", "{"):
+            opened.append(s)
+            out.append(s)
+        elif s in _CLOSING and opened:
+            if opened.pop() != _CLOSING[s]:
+                return None
+            out.append(s)
+        elif s == "\n":
+            out.append(INNER)
+        elif opened and s in (":", "!", "=") or len(s) == 2 and s[1] == "=":
+            out.append(s)
+        elif s in ("}", ":", "!", "="):
+            out.append(FIELD_END)
+            if s == "=":
+                pos += len(re.compile(r"\s*").match(text, pos)[0])
+                s = text[pos]
+                pos += 1
+            if s == "!":
+                m = _CONVERSION.match(text, pos - 1)
+                if not m:
+                    return None
+                pos = m.end() + 1
+                s = text[m.end()]
+            if s == ":":
+                pos = _parts(text, pos, quote, raw, out, True)
+                return pos if pos is None else pos + 1
+            return pos
+        elif s in (")", "]"):
+            return None
+        elif _OPENING.match(text, m.start()):
+            pos = _formatted(text, m, out)
+        elif s in ('"', "'"):
+            return None
+        else:
+            out.append(_string(m).replace("\n", INNER))
+    return None
 
 
 def shape(text: str) -> str:
-    s = _SCAN.sub(_string, text)
-    s = _IDENT.sub("n", s)
+    out: list[str] = []
+    pos = 0
+    while m := _STEP.search(text, pos):
+        out.append(text[pos : m.start()])
+        if m[0][0] in "fFtTrR" and _OPENING.match(text, m.start()):
+            pos = _formatted(text, m, out)
+        else:
+            out.append(_string(m))
+            pos = m.end()
+    out.append(text[pos:])
+    s = _IDENT.sub("n", "".join(out))
     s = _NUMBER.sub("0", s)
     return _BAD_NUMBER.sub(lambda m: "0" if m[0] == "0" else BAD, s)
 
@@ -177,8 +278,10 @@ class Line(Parser):
             self.i += 1
             return OTHER
         if t in ('"', "\x04"):
-            while self.k() == t:
-                self.i += 1
+            while self.take(t):
+                while self.take(FIELD):
+                    self.value()
+                    self.need(FIELD_END)
             if self.k() in ('"', "\x04"):
                 self.fail("bytes and text can't be joined")
             return OTHER

@@ -1,5 +1,7 @@
 """Inputs beyond what the operators once cut off: long chains, deep nesting, marks far into a text, every error."""
 
+import ast
+
 import pytest
 
 from codeweft.llm.parsing import check
@@ -40,3 +42,25 @@ def test_inline_source_map():
     for end in (f"{inline}\n", f"{inline}\n\n// end\n" + "f();\n" * 100, f"d();{inline}\n{'f();' * 100}\n", f"/*{inline[2:]} */\n"):
         assert evidence("a/app.js", code + end) == "minified"
     assert evidence("a/app.js", code + 'd("//# sourceMappingURL=" + e);\nf("' + "x" * 500 + '");\ng();\n') is None
+
+
+FIELDS_OK = ['f"{a}"', 'f"{a!r:>{w}}{b=}{{}}"', 'f"{a["b"]}{f"{c}"}"', 'f"{a, b}{(lambda: 1)}{ {1: 2}[1] }"', 'f"{a:%H:%M}{b != c}{d:=5}"', 'f"""{\na # c\n}\n"""', 'rf"\\{a}" "b" f"\\N{DIGIT ONE}{c}"', "f'{a:{b}.{c}}'"]
+FIELDS_BAD = ['f"{a b}"', 'f"{foo(x}"', 'f"{}"', 'f"{a!x}"', 'f"{lambda x: 1}"', 'f"{a:{}}"', 'f"{a:{b c}}"', 'f"}"', 'f"{a = b}"', 'f"{1 +}"', 'f"{f"{a b}"}"', 'f"{a;b}"']
+
+
+@pytest.mark.parametrize("text", FIELDS_OK + FIELDS_BAD)
+def test_fields_of_formatted_strings(text):
+    assert (not check("x.py", f"x = 1\ny = {text}\nz = 2\n")[1]) == (text in FIELDS_OK)
+    if text in FIELDS_BAD:
+        errors = check("x.py", f"x = 1\ny = {text}\nz = \n")[1]
+        assert [e.split(":")[0] for e in errors] == ["line 2", "line 3"]
+
+
+def test_fields_agree_with_the_interpreter():
+    for text in FIELDS_OK + FIELDS_BAD:
+        try:
+            ast.parse(text)
+            fine = True
+        except SyntaxError:
+            fine = False
+        assert fine == (text in FIELDS_OK), text

@@ -18,6 +18,12 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.parse_rates(syntax.parse_verdicts(table(spark, d, "source_files"), table(spark, d, "parse_results")))
 
 
+def p1_errors(spark: SparkSession, d: str) -> DataFrame:
+    """All errors of each file that doesn't parse, and the first cause."""
+    verdicts = syntax.parse_verdicts(table(spark, d, "source_files"), table(spark, d, "parse_results"))
+    return verdicts.where("not accepted").select("repo_id", "file_path", "language", "first_cause", "errors")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return provenance.not_handwritten(table(spark, d, "files"), table(spark, d, "source_files")).select("repo_id", "path")
 
@@ -59,5 +65,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(truncation.truncation_evidence(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p4_found, p4_kinds, p7_found, p7_pairs, p8_ids, p9_mix, p9_shares, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_errors, p4_found, p4_kinds, p7_found, p7_pairs, p8_ids, p9_mix, p9_shares, p10_found, p10_rates)}
 SQL: dict[str, str] = {}

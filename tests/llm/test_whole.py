@@ -4,6 +4,7 @@ import ast
 
 import pytest
 
+from codeweft.llm import queries
 from codeweft.llm.parsing import check
 from codeweft.llm.provenance import evidence
 
@@ -64,3 +65,17 @@ def test_fields_agree_with_the_interpreter():
         except SyntaxError:
             fine = False
         assert fine == (text in FIELDS_OK), text
+
+
+@pytest.mark.parametrize(("path", "line"), [("x.py", "x = = 1\n"), ("x.js", "a b;\n"), ("x.ts", "a b;\n"), ("x.java", "void f() { x = ; }\n"), ("x.go", "func f() { a b }\n")])
+def test_every_error_is_kept(path, line):
+    begin, end = ("class A {\n", "}\n") if path == "x.java" else ("package a\n", "") if path == "x.go" else ("", "")
+    errors = check(path, begin + line * 300 + end)[1]
+    assert {e.split(":")[0] for e in errors} >= {f"line {k + bool(begin)}" for k in range(1, 301)}
+
+
+def test_query_of_errors(spark, tmp_path):
+    spark.createDataFrame([("r", "a.py", "x = = 1\n" * 120), ("r", "b.py", "x = 1\n")], "repo_id string, path string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    spark.createDataFrame([("r", "a.py", None, True), ("r", "b.py", None, True)], "repo_id string, file_path string, parsed_at timestamp_ntz, success boolean").write.parquet(f"{tmp_path}/parse_results.parquet")
+    [row] = queries.QUERIES["p1_errors"](spark, str(tmp_path)).collect()
+    assert (row.file_path, row.language, row.first_cause, len(row.errors)) == ("a.py", "python", row.errors[0], 120) and row.first_cause.startswith("line 1:")

@@ -7,7 +7,9 @@ routines counted through; minified ones and data show by layout. Prose about gen
 or minifying is no evidence, nor is a word that only begins like a mark.
 
 Null texts are left out; an empty text is hand-written. Paths are compared in plain spelling. Of several texts of one
-path any evidence counts. Rows of `files` with null path or hash don't enter the hashes. Empty tables give no rows.
+path any evidence counts. Rows of `files` with null path or hash don't enter the hashes. A null size is taken from other
+rows of the hash, else from a text of the file; a file whose size nothing tells counts as shared whatever its size. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -127,13 +129,13 @@ def evidence(path: str, text: str) -> str | None:
     return None
 
 
-_FOUND = "repo_id string, path string, why string"
+_FOUND = "repo_id string, path string, why string, bytes int"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         why = [evidence(p, t.replace("\r\n", "\n")) for p, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(why, pa.string())], names=["repo_id", "path", "why"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(why, pa.string()), b.column(3)], names=["repo_id", "path", "why", "bytes"])
 
 
 def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
@@ -159,20 +161,27 @@ def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def shared_files(files: DataFrame) -> DataFrame:
+def _sizes(versions: DataFrame, unknown: DataFrame, texts: DataFrame | None) -> DataFrame:
+    """sha, known of the hashes of `unknown` (repo_id, path, sha): by any version with a size, else by a text."""
+    known = versions.where("size_bytes is not null").join(unknown.select("sha").distinct(), "sha", "left_semi").select("sha", "size_bytes", F.lit(None).cast("long").alias("bytes"))
+    if texts is not None:
+        known = known.unionByName(unknown.join(texts.select("repo_id", "path", F.col("bytes").cast("long").alias("bytes")), ["repo_id", "path"]).select("sha", F.lit(None).cast("long").alias("size_bytes"), "bytes"))
+    return known.groupBy("sha").agg(F.coalesce(F.max("size_bytes"), F.max("bytes")).alias("known"))
+
+
+def shared_files(files: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """repo_id, path of the files that lie in a subtree, or are a file, which an unrelated repository has as well.
 
-    Of each path the latest version counts. A directory of which at least half of the files, and two, are shared is a
+    `texts` has repo_id, path, bytes of texts. Of each path the latest version counts. A directory of which at least half of the files, and two, are shared is a
     copy as a whole, locally changed files included."""
     newest = F.max(F.struct("indexed_at", "sha", "size_bytes")).alias("v")
-    current = (
-        files.select("repo_id", plain_path(F.col("path")).alias("path"), plain_hash(F.col("sha256")).alias("sha"), "size_bytes", "indexed_at")
-        .where(F.col("sha").isNotNull() & (F.col("path") != "") & F.col("repo_id").isNotNull())
-        .groupBy("repo_id", "path")
-        .agg(newest)
+    versions = files.select("repo_id", plain_path(F.col("path")).alias("path"), plain_hash(F.col("sha256")).alias("sha"), F.col("size_bytes").cast("long").alias("size_bytes"), "indexed_at").where(
+        F.col("sha").isNotNull() & (F.col("path") != "") & F.col("repo_id").isNotNull()
     )
+    current = stage(versions.groupBy("repo_id", "path").agg(newest).select("repo_id", "path", "v.sha", F.col("v.size_bytes").alias("size")), "current")
+    sizes = _sizes(versions, current.where("size is null").select("repo_id", "path", "sha"), texts)
     leaves = stage(
-        current.select("repo_id", "path", F.lit(1).cast("long").alias("n"), F.xxhash64("v.sha").alias("h1"), F.xxhash64(F.lit(7), "v.sha").alias("h2"), F.coalesce("v.size_bytes", F.lit(0)).alias("size")),
+        current.join(sizes, "sha", "left").select("repo_id", "path", F.lit(1).cast("long").alias("n"), F.xxhash64("sha").alias("h1"), F.xxhash64(F.lit(7), "sha").alias("h2"), F.coalesce("size", "known").alias("size")),
         "leaves",
     )
     trees = merkle_levels(leaves.drop("size"))
@@ -188,7 +197,7 @@ def shared_files(files: DataFrame) -> DataFrame:
         .select("n", "h1", "h2", "leaf"),
         "common",
     )
-    marked = stage(every.join(common, ["n", "h1", "h2", "leaf"], "left_semi").where(~F.col("leaf") & (F.col("n") > 1) | F.col("leaf") & (F.col("size") >= SHARED_BYTES)), "shared")
+    marked = stage(every.join(common, ["n", "h1", "h2", "leaf"], "left_semi").where(~F.col("leaf") & (F.col("n") > 1) | F.col("leaf") & (F.col("size").isNull() | (F.col("size") >= SHARED_BYTES))), "shared")
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     per_dir = leaves.groupBy("repo_id", folder.alias("dir")).agg(F.count("*").alias("all"))
     hit = marked.where("leaf").groupBy("repo_id", folder.alias("dir")).agg(F.count("*").alias("hit"))
@@ -204,10 +213,10 @@ def not_handwritten(files: DataFrame, sources: DataFrame) -> DataFrame:
     ship(sources.sparkSession)
     # The verdicts are staged: the text is read and judged once, and what follows works on a few short columns.
     judged = stage(
-        sources.select("repo_id", plain_path(F.col("path")).alias("path"), "content").where(F.col("content").isNotNull() & (F.col("path") != "")).mapInArrow(_judge, _FOUND),
+        sources.select("repo_id", plain_path(F.col("path")).alias("path"), "content", F.octet_length("content").alias("bytes")).where(F.col("content").isNotNull() & (F.col("path") != "")).mapInArrow(_judge, _FOUND),
         "judged",
     )
-    shared = shared_files(files).withColumn("shared", F.lit(True))
+    shared = shared_files(files, judged).withColumn("shared", F.lit(True))
     why = F.coalesce("why", F.when(F.col("shared"), "shared between repositories"))
     return (
         judged.join(shared, ["repo_id", "path"], "left")

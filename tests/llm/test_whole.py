@@ -1,10 +1,11 @@
 """Inputs beyond what the operators once cut off: long chains, deep nesting, marks far into a text, every error."""
 
 import ast
+from datetime import datetime
 
 import pytest
 
-from codeweft.llm import queries
+from codeweft.llm import provenance, queries
 from codeweft.llm.parsing import check
 from codeweft.llm.provenance import evidence
 
@@ -79,3 +80,17 @@ def test_query_of_errors(spark, tmp_path):
     spark.createDataFrame([("r", "a.py", None, True), ("r", "b.py", None, True)], "repo_id string, file_path string, parsed_at timestamp_ntz, success boolean").write.parquet(f"{tmp_path}/parse_results.parquet")
     [row] = queries.QUERIES["p1_errors"](spark, str(tmp_path)).collect()
     assert (row.file_path, row.language, row.first_cause, len(row.errors)) == ("a.py", "python", row.errors[0], 120) and row.first_cause.startswith("line 1:")
+
+
+def test_shared_files_of_unknown_size(spark):
+    f = [("a", "one.py", "1", None), ("b", "x/one.py", "1", 900), ("a", "two.py", "2", None), ("b", "y/two.py", "2", None), ("a", "small.py", "3", None), ("b", "z/small.py", "3", 20), ("a", "text.py", "4", None), ("b", "q/text.py", "4", None)]
+    rows = [(*r, datetime(2025, 1, 2)) for r in f]
+    # An earlier version of another path has the size of a hash.
+    rows += [("a", "old.py", "5", None, datetime(2025, 1, 2)), ("b", "w/old.py", "5", None, datetime(2025, 1, 2)), ("c", "new.py", "5", 30, datetime(2025, 1, 1)), ("c", "new.py", "6", 30, datetime(2025, 1, 2))]
+    files = spark.createDataFrame(rows, "repo_id string, path string, sha256 string, size_bytes long, indexed_at timestamp_ntz")
+    want = {("a", "one.py"), ("b", "x/one.py"), ("a", "two.py"), ("b", "y/two.py"), ("a", "text.py"), ("b", "q/text.py")}
+    assert {tuple(r) for r in provenance.shared_files(files).collect()} == want
+    # A text tells that these are too small.
+    sources = spark.createDataFrame([(r, p, "x = 1\n" if p.endswith("text.py") else "y = call(x)\n" * 40) for r, p, _, _ in f], "repo_id string, path string, content string")
+    got = {(r.repo_id, r.path) for r in provenance.not_handwritten(files, sources).collect()}
+    assert got == want - {("a", "text.py"), ("b", "q/text.py")}

@@ -827,10 +827,11 @@ def _read(text: str) -> tuple[str, bool, str | None]:
     return got
 
 
+_HEADER = re.compile(r"(?:if|elif|else|for|while|try|except|finally|with|def|class|async|match|case)(?!\w)|@")
+
+
 def _split(text: str) -> list[str]:
-    """The statements of a long line of simple statements; none when it has headers or only one."""
-    if re.match(r"(?:if|elif|else|for|while|try|except|finally|with|def|class|async|match|case|@)(?!\w)", text):
-        return []
+    """The statements of a long line of simple statements; none when one may be a header or there is only one."""
     parts, depth, begin = [], 0, 0
     for m in re.finditer(r"[()\[\]{};]", text):
         c = m[0]
@@ -843,7 +844,7 @@ def _split(text: str) -> list[str]:
     rest = text[begin:].strip()
     if rest:
         parts.append(rest)
-    return parts if len(parts) > 1 and all(parts) else []
+    return parts if len(parts) > 1 and all(p and not _HEADER.match(p) for p in parts) else []
 
 
 _BRACKET = re.compile(r"[()\[\]{}]")

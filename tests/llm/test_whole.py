@@ -94,3 +94,9 @@ def test_shared_files_of_unknown_size(spark):
     sources = spark.createDataFrame([(r, p, "x = 1\n" if p.endswith("text.py") else "y = call(x)\n" * 40) for r, p, _, _ in f], "repo_id string, path string, content string")
     got = {(r.repo_id, r.path) for r in provenance.not_handwritten(files, sources).collect()}
     assert got == want - {("a", "text.py"), ("b", "q/text.py")}
+
+
+@pytest.mark.parametrize("tail", ["if a: b", "for x in y:\n    z", "while a:\n    b", "def f(): pass", "class A: pass", "with a: b", "@a\ndef f(): pass", "match a:\n    case 1: pass", "y = 2", "match = 1", "y = "])
+def test_long_lines_are_judged_like_short_ones(tail):
+    short, long = f"x = 1; {tail}\n", "x = call(1, 2, 3); " * 60 + f"{tail}\n"
+    assert bool(check("x.py", short)[1]) == bool(check("x.py", long)[1]) == (tail not in ("y = 2", "match = 1"))

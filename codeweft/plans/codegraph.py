@@ -180,6 +180,14 @@ def find_by_name(spark, d):
     return n.join(wanted, F.lower("name") == F.col("wanted"), "left_semi").select("id", "name")
 
 
+@query(f"WITH {_CUR}, n AS (SELECT DISTINCT lower(name) AS wanted FROM cur) SELECT wanted, id, cur.name FROM cur JOIN n ON lower(cur.name) = wanted")
+def find_by_every_name(spark, d):
+    """Each name there is, looked up in all nodes; `find_by_name` looks up the 20 most frequent only, as its SQL does."""
+    n = _nodes(spark, d)
+    wanted = stage(n.select(F.lower("name").alias("wanted")).distinct(), "wanted")
+    return n.join(wanted, F.lower("name") == F.col("wanted")).select("wanted", "id", "name")
+
+
 @query(f"WITH {_CUR} SELECT repo_id, parent_id, string_agg(id, ' ' ORDER BY start_line, id) AS kids FROM cur WHERE parent_id IS NOT NULL GROUP BY repo_id, parent_id")
 def children_of(spark, d):
     n = _nodes(spark, d).where("parent_id is not null")

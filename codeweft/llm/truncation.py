@@ -27,6 +27,9 @@ from codeweft.session import ship, stage
 
 #: Lengths to each side that a hazard is compared with, and the false discovery rate.
 NEIGHBOURS, FALSE_DISCOVERIES = 30, 0.01
+#: A limit's hazard is more than so many times that of its neighbours. This, not equality, is the hypothesis to reject:
+#: with enough texts any uneven length (a usual subject line, say) differs from its neighbours significantly.
+LEAST_EFFECT = 2.0
 #: Lengths just beside, whose hazard counts too where it is the higher one: a limit is a single length, a usual length a hill.
 BESIDE = 4
 #: No field that holds a sentence is shorter.
@@ -182,8 +185,9 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def length_limits(endings: DataFrame, neighbours: int = NEIGHBOURS, rate: float = FALSE_DISCOVERIES) -> DataFrame:
-    """source, measure, length, n, hazard, around of each length with a significantly high hazard.
+def length_limits(endings: DataFrame, neighbours: int = NEIGHBOURS, rate: float = FALSE_DISCOVERIES, effect: float = LEAST_EFFECT) -> DataFrame:
+    """source, measure, length, n, hazard, around of each length whose hazard is significantly above `effect` times its
+    neighbours'.
 
     The windows run over the distinct lengths of a source, as many as the longest text at most, never over its rows.
     p-values are Chernoff bounds of the binomial tail, so the rate is controlled from the safe side (Benjamini-Hochberg).
@@ -202,7 +206,7 @@ def length_limits(endings: DataFrame, neighbours: int = NEIGHBOURS, rate: float
 
     h = h.withColumn("wide", mean_hazard(neighbours)).withColumn("close", mean_hazard(BESIDE)).withColumn("around", F.greatest("wide", "close"))
     h = h.withColumn("hazard", F.col("n") / F.col("risk"))
-    q, p = F.col("hazard"), F.least(F.col("around"), F.lit(0.999))
+    q, p = F.col("hazard"), F.least(F.col("around") * effect, F.lit(0.999))
     kl = q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
     tested = stage(h.withColumn("logp", F.when(q > p, -F.col("risk") * kl).otherwise(0.0)), "hazards")
     # Only p-values up to the rate itself can pass, so the ranking is over those few; how many tests there were is a number.

@@ -68,9 +68,13 @@ def _key(word: str) -> str:
     return word.lower()
 
 
+#: What a cutter's mark can end in.
+_MARK_ENDS = ("]", ")", ">", "more", "cut", "truncated")
+
+
 def _mark(text: str) -> re.Match | None:
     """The mark of a cutter at the end of a text."""
-    return _MARK.search(text, max(0, len(text) - 60))
+    return _MARK.search(text) if text.rstrip().lower().endswith(_MARK_ENDS) else None
 
 
 def _words(text: str) -> list[tuple[str, int, int]]:
@@ -135,7 +139,7 @@ def _ending(text: str) -> tuple[str, str, str]:
         body, dots = body[: m.start()].rstrip(), True
     fenced = len(_FENCE.findall(body)) % 2
     line = body[body.rfind("\n") + 1 :]
-    words = _words(line[-400:])
+    words = _words(line)
     if fenced and not (line.rstrip(_CLOSERS)[-1:] and line.rstrip(_CLOSERS)[-1] in _FULL):
         return "unclosed", "", ""
     if not words:
@@ -157,8 +161,14 @@ def _ending(text: str) -> tuple[str, str, str]:
 
 
 def _before(body: str, line: str) -> str:
-    words = _words(body[: len(body) - len(line)][-200:])
-    return words[-1][0] if words else ""
+    """The last word before the last line; no word spans lines."""
+    end = len(body) - len(line) - 1
+    while end > 0:
+        start = body.rfind("\n", 0, end) + 1
+        if words := _words(body[start:end]):
+            return words[-1][0]
+        end = start - 1
+    return ""
 
 
 def _open_bracket(line: str) -> bool:
@@ -218,6 +228,45 @@ def length_limits(endings: DataFrame, neighbours: int = NEIGHBOURS, rate: float
     return passed.select("source", "measure", "length", "n", "hazard", "around")
 
 
+def _begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by word, the asked ones with which a known word begins: the words that begin with another follow it
+    without a gap. What is still open at the end of the partition, and its first known word, are passed on."""
+    waiting: list[str] = []
+    first, part = None, None
+    for b in batches:
+        out = []
+        for word, known, part in zip(*(c.to_pylist() for c in b.columns)):
+            while waiting and not word.startswith(waiting[-1]):
+                waiting.pop()
+            if not known:
+                waiting.append(word)
+                continue
+            first = word if first is None else first
+            out += [w for w in waiting if len(w) < len(word)]
+            waiting = [w for w in waiting if len(w) == len(word)]
+        yield _begun_rows(out, "begun", part)
+    yield _begun_rows(waiting, "open", part)
+    yield _begun_rows([] if first is None else [first], "first", part)
+
+
+def _begun_rows(words: list[str], what: str, part: int | None) -> pa.RecordBatch:
+    n = len(words)
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([what] * n, pa.string()), pa.array([part] * n, pa.int32())], names=["word", "what", "part"])
+
+
+def beginnings(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """The words of `asked` (distinct) that are a proper beginning of a word of `known`, by one sort of both.
+
+    Each partition of the sort is read once, in order; what hangs over its end is compared with the first known word
+    behind it, a few rows for each partition."""
+    both = asked.select("word", F.lit(False).alias("known")).union(known.select(F.col("key"), F.lit(True))).where(F.col("word") != "")
+    found = stage(both.repartitionByRange("word").sortWithinPartitions("word", F.desc("known")).withColumn("part", F.spark_partition_id()).mapInArrow(_begun, "word string, what string, part int"), "beginnings")
+    later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    edge = found.where("what != 'begun'").groupBy("part").agg(F.max(F.when(F.col("what") == "first", F.col("word"))).alias("first"), F.collect_list(F.when(F.col("what") == "open", F.col("word"))).alias("open"))
+    over = edge.withColumn("next", F.first("first", ignorenulls=True).over(later)).select(F.explode("open").alias("word"), "next").where(F.startswith("next", "word")).select("word")
+    return found.where("what = 'begun'").select("word").union(over)
+
+
 def truncation_evidence(docs: DataFrame) -> DataFrame:
     """doc_id, source, kind of ending, share of cases in which its last words end a sentence, at_limit, missing (characters
     that the source reported beyond those there), truncated."""
@@ -230,9 +279,8 @@ def truncation_evidence(docs: DataFrame) -> DataFrame:
     pairs = unsure.select(F.col("pair").alias("key")).union(unsure.select("word")).distinct()
     known = stage(stats.join(pairs, "key", "left_semi"), "tails")
     # Words that go on: the proper beginnings of words seen inside texts.
-    inside = stats.where(~F.col("key").contains(" ") & (F.col("seen") - F.col("last") >= 3) & (F.length("key") > 1)).select("key")
-    begun = inside.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda k: F.substring("key", F.lit(1), k))).alias("word")).distinct()
-    begun = stage(begun.join(unsure.select("word").distinct(), "word", "left_semi").withColumn("begins", F.lit(True)), "beginnings")
+    inside = stats.where(~F.col("key").contains(" ") & (F.col("seen") - F.col("last") >= 3)).select("key")
+    begun = beginnings(unsure.select("word").distinct(), inside).withColumn("begins", F.lit(True))
     two = known.select(F.col("key").alias("pair"), F.col("seen").alias("seen2"), F.col("ends").alias("ends2"), F.col("last").alias("last2"))
     one = known.select(F.col("key").alias("word"), F.col("seen").alias("seen1"), F.col("ends").alias("ends1"), F.col("last").alias("last1"))
     at = [

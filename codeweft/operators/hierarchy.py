@@ -1,9 +1,14 @@
 """Parent-child links to full hierarchies: root, depth, path and descendants of each node, and circles.
 
-The links are first contracted where they lie: each partition holds fragments of trees and joins every node to its
-fragment's exit (its topmost ancestor there), with the distance. Exits whose parent lies elsewhere make up a quotient
-forest, a small fraction of the nodes when partitions follow the files; it is solved recursively and the fragments are
-then expanded. Circles within a partition show in the contraction, all others in the quotient forest.
+The links are contracted where they lie: a task holds the nodes of some blocks (parts of files) and joins every node to
+its fragment's exit (its topmost ancestor there), with the distance. Exits whose parent lies elsewhere make up a quotient
+forest, a small fraction of the nodes when blocks follow the files. Those of its nodes that hang on a root are solved by
+that; the rest is contracted again, by new blocks that bring children to their parents, and so on until nothing is left.
+The fragments are then expanded, level by level. Circles within a fragment show in the contraction of that level.
+
+A task holds TASK_NODES nodes or so at any level and any size of the data: the number of tasks follows the number of
+nodes, and blocks larger than that are split. At each level below the first about a quarter of the nodes are expected to
+go, besides those on a root; a quotient that fits one task is gone at once.
 
 Rows with null id are ignored; of rows with the same `ord` the deleted one holds. A parent that is not among the nodes
 makes a root, as does a blank one; a node naming itself is a circle of one. Where several nodes list the same child
@@ -13,7 +18,6 @@ the smallest id counts. Empty tables give no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 
 from codeweft.session import ship, stage
 
-#: So many quotient links are solved in one task, in memory (about 300 bytes each); more by doubling joins.
-ONE_TASK_LINKS = 500_000
+#: Nodes that a task holds, and that a block may have before it is split.
+TASK_NODES, BLOCK_NODES = 100_000, 25_000
 #: A fragment spans at most so many lines of a file, so that no single file fills a task.
 BLOCK_LINES = 5_000
 #: Nodes without a line are scattered over so many blocks of their file.
@@ -51,23 +55,26 @@ def current_links(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _fragments(ids: pa.Array, parents: pa.Array, paths: bool) -> dict[str, pa.Array]:
-    """Contract the links among `ids`.
+def _fragments(ids: pa.Array, parents: pa.Array, steps: np.ndarray, lows: pa.Array, ways: pa.Array | None) -> dict[str, pa.Array]:
+    """Contract the links among `ids`. A link has a number of steps, the smallest id it leads over (its end included), and
+    the ids it leads over, down from its end to the node.
 
-    exit, dist: the topmost ancestor within, and how far; up: the exit's parent outside (null if it has none); low: the
-    smallest id from the node up to its exit; tin, size: the node's place and extent in a walk through its fragment, so
-    that x is at or above y just when both have one exit and tin(x) <= tin(y) < tin(x) + size(x). Nodes of or under a
-    circle within have `ring` (its smallest id) and dist -1 or -2 instead.
+    exit, dist: the topmost ancestor within, and how many steps up; up, up_steps, up_low: the exit's own link, to a parent
+    outside (null if it has none); low: the smallest id between the node and its exit, without the node; tin, size: the
+    node's place and extent in a walk through its fragment, so that x is at or above y just when both have one exit and
+    tin(x) <= tin(y) < tin(x) + size(x). Nodes of or under a circle within have `ring` (its smallest id) and dist -1 or
+    -2 instead.
     """
     n = len(ids)
     par = pc.fill_null(pc.index_in(parents, value_set=ids), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = pc.sort_indices(lows)
     rank = np.empty(n, np.int64)
-    rank[pc.sort_indices(ids).to_numpy()] = np.arange(n)
-    me = np.arange(n)
-    top, dist, low = np.where(par < 0, me, par), (par >= 0).astype(np.int64), rank.copy()
+    rank[order.to_numpy()] = np.arange(n)
+    inner = par >= 0
+    top, hops, dist, low = np.where(inner, par, np.arange(n)), inner.astype(np.int64), np.where(inner, steps, 0), np.where(inner, rank, n)
     for _ in range(max(1, math.ceil(math.log2(n + 1)) + 1)):
         low = np.minimum(low, low[top])
-        dist = dist + dist[top]
+        hops, dist = hops + hops[top], dist + dist[top]
         nxt = top[top]
         if (nxt == top).all():
             break
@@ -81,16 +88,16 @@ def _fragments(ids: pa.Array, parents: pa.Array, paths: bool) -> dict[str, pa.Ar
             if seen[s] < 0:
                 loop, x = [], s
                 while seen[x] < 0:
-                    seen[x] = s
+                    seen[x] = n
                     loop.append(x)
                     x = par[x]
-                seen[loop] = min(loop, key=lambda i: rank[i])
+                seen[loop] = rank[loop].min()
         ring[in_ring] = seen[top[in_ring]]
         dist[in_ring] = np.where(seen[in_ring.nonzero()[0]] >= 0, -1, -2)
     tin, size = np.zeros(n, np.int64), np.ones(n, np.int64)
     free = (~in_ring).nonzero()[0]
-    by_level = free[np.argsort(dist[free], kind="stable")]
-    levels = np.split(by_level, np.flatnonzero(np.diff(dist[by_level])) + 1) if len(by_level) else []
+    by_level = free[np.argsort(hops[free], kind="stable")]
+    levels = np.split(by_level, np.flatnonzero(np.diff(hops[by_level])) + 1) if len(by_level) else []
     for idx in reversed(levels[1:]):
         np.add.at(size, par[idx], size[idx])
     for k, idx in enumerate(levels):
@@ -99,182 +106,128 @@ def _fragments(ids: pa.Array, parents: pa.Array, paths: bool) -> dict[str, pa.Ar
             before = np.cumsum(size[idx]) - size[idx]
             first = np.r_[True, par[idx][1:] != par[idx][:-1]]
             tin[idx] = tin[par[idx]] + 1 + before - before[np.maximum.accumulate(np.where(first, np.arange(len(idx)), 0))]
-    order = pc.sort_indices(ids)
     none = pa.array(in_ring)
+    at = pa.array(top)
+    value = lambda r, least, most: lows.take(order.take(pa.array(np.where((r < least) | (r >= most), None, r), pa.int64())))
     out = {
         "id": ids,
-        "exit": pc.if_else(none, None, ids.take(pa.array(top))),
+        "exit": pc.if_else(none, None, ids.take(at)),
         "dist": pa.array(dist),
-        "up": pc.if_else(none, None, parents.take(pa.array(top))),
-        "low": ids.take(order.take(pa.array(low))),
+        "up": pc.if_else(none, None, parents.take(at)),
+        "up_steps": pa.array(steps[top]),
+        "up_low": lows.take(at),
+        "low": value(low, 0, n),
         "tin": pa.array(tin),
         "size": pa.array(size),
-        "ring": ids.take(pa.array(np.where(ring < 0, None, ring), pa.int64())),
+        "ring": value(ring, 0, n),
     }
-    if paths:
-        names = ids.to_pylist()
-        way: list = [None] * n
-        for idx in levels:
+    if ways is not None:
+        own = ways.to_pylist()
+        way: list = [[]] * n
+        for idx in levels[1:]:
             for i in idx.tolist():
-                way[i] = [*way[par[i]], names[i]] if par[i] >= 0 else [names[i]]
+                way[i] = way[par[i]] + own[i]
         out["way"] = pa.array(way, pa.list_(pa.string()))
+        out["up_way"] = ways.take(at)
     return out
 
 
-def _contract(paths: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if t is not None and t.num_rows:
-            t = t.select(["id", "parent"]).combine_chunks()
-            cols = _fragments(t["id"].chunk(0), t["parent"].chunk(0), paths)
-            yield from pa.table(cols).to_batches(max_chunksize=20_000)
-
-    return run
+_FRAGMENT = "id string, exit string, dist bigint, up string, up_steps bigint, up_low string, low string, tin bigint, size bigint, ring string"
 
 
-def _quotient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Solve all quotient links in one task; see `_solve`."""
-    link: dict = {}
-    for b in batches:
-        for r in b.to_pylist():
-            link[r["id"]] = r
-    done: dict = {}
-    for start in link:
-        trail, x = [], start
-        at: dict = {}
-        while x in link and x not in done and x not in at:
-            at[x] = len(trail)
-            trail.append(x)
-            x = link[x]["to"]
-        if x in at:
-            loop = trail[at[x] :]
-            low = min(link[e]["low"] for e in loop)
-            for e in loop:
-                done[e] = (low, -1, None)
-            trail = trail[: at[x]]
-        for e in reversed(trail):
-            r = link[e]
-            if r["ring"] is not None:
-                done[e] = (r["ring"], -2, None)
-                continue
-            above = done.get(r["to"])
-            if above is None:
-                done[e] = (r["to"], r["w"], r["way"])
-            elif above[1] < 0:
-                done[e] = (above[0], -2, None)
-            else:
-                done[e] = (above[0], above[1] + r["w"], above[2] and above[2] + r["way"][1:])
-    ids = list(done)
-    for k in range(0, len(ids), 10_000):
-        part = [done[e] for e in ids[k : k + 10_000]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[k : k + 10_000], pa.string()), pa.array([p[0] for p in part], pa.string()), pa.array([p[1] for p in part], pa.int64()), pa.array([p[2] for p in part], pa.list_(pa.string()))],
-            names=["id", "root", "depth", "way"],
-        )
+def _contract(t: pa.Table) -> pa.Table:
+    """The nodes of one task."""
+    t = t.combine_chunks()
+    one = lambda c: t[c].chunk(0) if t[c].num_chunks else pa.array([], t[c].type)
+    return pa.table(_fragments(one("id"), one("parent"), one("steps").to_numpy(zero_copy_only=False), one("low"), one("way") if "way" in t.column_names else None))
 
 
-def _solve(links: DataFrame, one_task: int) -> DataFrame:
-    """id, root, depth, way of each exit with a parent outside its fragment; depth -1 on a circle of exits, -2 under one.
-
-    `links`: id, to (the exit above), w (steps to it), low (smallest id among those steps), way (ids from `to` to id),
-    ring (set when the parent is on or under a circle found earlier).
-    """
-    n = links.count()
-    if n <= one_task:
-        return links.coalesce(1).mapInArrow(_quotient, "id string, root string, depth bigint, way array<string>")
-    ended = links.where(F.col("ring").isNotNull()).select("id", F.col("ring").alias("root"), F.lit(-2).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("way"))
-    active = links.where(F.col("ring").isNull()).select("id", "to", "w", "low", "way")
-    solved = [ended]
-    for k in range(math.ceil(math.log2(n)) + 2):
-        known = solved[0]
-        for s in solved[1:]:
-            known = known.unionByName(s)
-        a, b, d = active.alias("a"), active.alias("b"), known.alias("d")
-        join = a.join(b, F.col("a.to") == F.col("b.id"), "left").join(d, F.col("a.to") == F.col("d.id"), "left")
-        tail = lambda w: F.slice(w, F.lit(2), F.size(w))
-        step = stage(
-            join.select(
-                "a.id",
-                F.coalesce("b.to", "a.to").alias("to"),
-                (F.col("a.w") + F.coalesce("b.w", F.lit(0))).alias("w"),
-                F.least("a.low", F.coalesce("b.low", "a.low")).alias("low"),
-                F.when(F.col("a.way").isNull(), None).when(F.col("b.way").isNull(), F.col("a.way")).otherwise(F.concat("b.way", tail(F.col("a.way")))).alias("way"),
-                F.col("b.id").isNotNull().alias("on"),
-                F.col("d.id").isNotNull().alias("hit"),
-                F.col("d.root").alias("d_root"),
-                F.col("d.depth").alias("d_depth"),
-                F.col("d.way").alias("d_way"),
-            ),
-            f"doubling-{k}",
-        )
-        over = step.where(~F.col("on"))
-        bad = F.col("hit") & (F.col("d_depth") < 0)
-        solved.append(
-            over.select(
-                "id",
-                F.coalesce("d_root", "to").alias("root"),
-                F.when(bad, F.lit(-2)).otherwise(F.col("w") + F.coalesce("d_depth", F.lit(0))).cast("long").alias("depth"),
-                F.when(bad | F.col("way").isNull(), None).when(F.col("hit"), F.concat("d_way", tail(F.col("way")))).otherwise(F.col("way")).alias("way"),
-            )
-        )
-        active = step.where("on").select("id", "to", "w", "low", "way")
-        if active.isEmpty():
-            break
-    # What is left never ends: after log2(n) doublings every `to` is on a circle and `low` of such a node spans it.
-    on = active.select(F.col("to").alias("id")).distinct()
-    rings = active.join(on, "id", "left_semi").select(F.col("id").alias("rid"), F.col("low").alias("root"))
-    rest = active.join(rings, active["to"] == rings.rid).join(on.withColumnRenamed("id", "oid"), F.col("id") == F.col("oid"), "left")
-    solved.append(rest.select("id", "root", F.when(F.col("oid").isNotNull(), -1).otherwise(-2).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("way")))
-    out = solved[0]
-    for s in solved[1:]:
-        out = out.unionByName(s)
-    return out
+def _in_tasks(nodes: DataFrame, n: int, held: int) -> tuple[DataFrame, int]:
+    """`nodes` with the task each belongs to, and how many tasks: whole blocks while they fit, parts of larger ones."""
+    tasks = max(1, math.ceil(n / held))
+    if tasks == 1:
+        return nodes.withColumn("task", F.lit(0)), 1
+    most = max(1, min(BLOCK_NODES, held // 2))
+    large = nodes.groupBy("block").agg(F.ceil(F.count("*") / most).alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0).cast("long"))
+    return nodes.join(large, "block", "left").withColumn("task", F.pmod(F.xxhash64("block", part), F.lit(tasks)).cast("int")).drop("parts"), tasks
 
 
-def resolve_hierarchy(links: DataFrame, with_paths: bool = False, one_task: int = ONE_TASK_LINKS, partitions: int | None = None) -> DataFrame:
-    """node_id, root_id, depth and, with `with_paths`, path (ids from the root to the node; null on or under a circle)
-    of each row of `links` (id, parent, block). depth -1: on a circle, -2: below one; root_id is then its smallest id."""
-    spark = links.sparkSession
-    ship(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    way = ", way array<string>" if with_paths else ""
+def _solve(nodes: DataFrame, paths: bool, held: int, level: int, tasks: int | None = None) -> DataFrame:
+    """id, root, depth, way (the ids below the root down to the node; null on or under a circle) of every one of `nodes`:
+    id, parent, steps, low, block and, with `paths`, way, of the link to the parent. depth -1: on a circle, -2: under one."""
+    columns = ["id", "parent", "steps", "low", *["way"] * paths]
+    if tasks is None:
+        nodes, tasks = _in_tasks(nodes, nodes.count(), held)
+    else:
+        nodes = nodes.withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks)).cast("int"))
     frags = stage(
-        links.select("id", "parent", "block").repartition(n, "block").mapInArrow(_contract(with_paths), f"id string, exit string, dist bigint, up string, low string, tin bigint, size bigint, ring string{way}"),
-        "fragments",
+        nodes.select(*columns, "task").repartition(tasks, "task").groupBy("task").applyInArrow(_contract, _FRAGMENT + ", way array<string>, up_way array<string>" * paths),
+        f"fragments-{level}",
     )
-    if not with_paths:
-        frags = frags.withColumn("way", F.lit(None).cast("array<string>"))
-    ends = frags.where((F.col("dist") == 0) & F.col("up").isNotNull()).select(F.col("id").alias("e"), "up")
-    met = stage(
-        ends.join(frags.select("id", "exit", "dist", "low", "tin", "ring", "way"), F.col("up") == F.col("id")).select(
-            F.col("e").alias("id"), F.col("exit").alias("to"), (F.col("dist") + 1).alias("w"), "low", "tin", "ring",
-            F.when(F.col("way").isNotNull(), F.concat("way", F.array("e"))).alias("way"),
+    if not paths:
+        frags = frags.withColumns({c: F.lit(None).cast("array<string>") for c in ("way", "up_way")})
+    ends = frags.where((F.col("dist") == 0) & F.col("up").isNotNull()).select(F.col("id").alias("e"), F.col("up").alias("e_up"), F.col("up_steps").alias("e_steps"), F.col("up_low").alias("e_low"), F.col("up_way").alias("e_way"))
+    # The exits' links, from exit to exit. `rooted`: the upper one has no parent, so the lower one is solved.
+    links = stage(
+        ends.join(frags, F.col("e_up") == F.col("id")).select(
+            F.col("e").alias("id"), F.col("exit").alias("to"), (F.col("dist") + F.col("e_steps")).alias("steps"), F.least("e_low", "low").alias("low"), "tin", "ring",
+            F.concat("way", "e_way").alias("way"), F.col("up").isNull().alias("rooted"),
         ),
-        "quotient",
+        f"quotient-{level}",
     )
-    solved = stage(_solve(met.drop("tin"), one_task), "solved")
-    local = frags.where(F.col("ring").isNotNull() | F.col("up").isNull()).select(
-        F.col("id").alias("node_id"), F.coalesce("ring", "exit").alias("root_id"), F.col("dist").alias("depth"), F.when(F.col("ring").isNull(), F.col("way")).alias("path")
-    )
-    # Exits whose parent is nowhere among the nodes are roots: they have no row in `solved`.
+    minus = lambda k: F.lit(k).cast("long")
+    solved = links.where("rooted").select("id", F.coalesce("ring", "to").alias("root"), F.when(F.col("ring").isNotNull(), minus(-2)).otherwise(F.col("steps")).alias("depth"), F.when(F.col("ring").isNull(), F.col("way")).alias("way"))
+    rest = links.where("not rooted")
+    entries = None
+    if not rest.isEmpty():
+        # Nodes of the next level: the unsolved, and as its roots the others that such ones hang on.
+        coin = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(2)) == 0
+        block = F.when(coin("id") & ~coin("to"), F.col("to")).otherwise(F.col("id"))
+        below = rest.select("id", F.col("to").alias("parent"), "steps", "low", F.xxhash64(block, F.lit(level)).alias("block"), "way")
+        over = rest.select(F.col("to").alias("id")).distinct().join(rest, "id", "left_anti").select(
+            "id", F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("steps"), F.lit(None).cast("string").alias("low"), F.xxhash64("id", F.lit(level)).alias("block"), F.array().cast("array<string>").alias("way"))
+        deeper = _solve(stage(below.unionByName(over), f"level-{level + 1}"), paths, held, level + 1)
+        above = solved.select(F.col("id").alias("root"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("way").alias("a_way"))
+        on_tree = (F.col("depth") >= 0) & (F.coalesce("a_depth", F.lit(0)) >= 0)
+        more = deeper.join(over.select(F.col("id").alias("over")), F.col("id") == F.col("over"), "left_anti").join(above, "root", "left").select(
+            "id", F.when(F.col("depth") < 0, F.col("root")).otherwise(F.coalesce("a_root", "root")).alias("root"),
+            F.when(F.col("depth") < 0, F.col("depth")).when(F.col("a_depth") < 0, minus(-2)).otherwise(F.coalesce("a_depth", F.lit(0)) + F.col("depth")).alias("depth"),
+            F.when(on_tree, F.concat(F.coalesce("a_way", F.array().cast("array<string>")), "way")).alias("way"),
+        )
+        more = stage(more, f"solved-{level}")
+        solved = solved.unionByName(more)
+        # In fragments of a circle through several, the nodes at or above the point where it comes in are on it.
+        rings = more.where("depth = -1").select(F.col("id").alias("rid"))
+        entries = links.join(rings, F.col("id") == F.col("rid"), "left_semi").select(F.col("to").alias("ring_exit"), F.col("tin").alias("at"))
+    local = frags.where(F.col("ring").isNotNull() | F.col("up").isNull()).select("id", F.coalesce("ring", "exit").alias("root"), F.col("dist").alias("depth"), F.when(F.col("ring").isNull(), F.col("way")).alias("way"))
     far = frags.where(F.col("ring").isNull() & F.col("up").isNotNull()).alias("f")
     s = solved.alias("s")
+    # Exits whose parent is nowhere among the nodes are roots: they have no row in `solved`.
     placed = far.join(s, F.col("f.exit") == F.col("s.id"), "left").select(
-        F.col("f.id").alias("node_id"), "f.exit", "f.tin", "f.size",
-        F.coalesce("s.root", "f.exit").alias("root_id"),
+        "f.id", "f.exit", "f.tin", "f.size", F.coalesce("s.root", "f.exit").alias("root"),
         F.when(F.col("s.depth") < 0, F.col("s.depth")).otherwise(F.coalesce("s.depth", F.lit(0)) + F.col("f.dist")).alias("depth"),
-        F.when(F.col("s.id").isNull(), F.col("f.way")).when(F.col("s.depth") >= 0, F.concat("s.way", F.slice("f.way", F.lit(2), F.size("f.way")))).alias("path"),
+        F.when(F.col("s.id").isNull(), F.col("f.way")).when(F.col("s.depth") >= 0, F.concat("s.way", "f.way")).alias("way"),
     )
-    fine = placed.where("depth >= 0").select("node_id", "root_id", "depth", "path")
-    # In fragments of a global circle, the nodes at or above a point where the circle comes in are on it.
-    rings = solved.where("depth = -1").select(F.col("id").alias("rid"))
-    entries = met.join(rings, met.id == rings.rid, "left_semi").select(F.col("to").alias("ring_exit"), F.col("tin").alias("at"))
+    if entries is None:
+        return local.unionByName(placed.select("id", "root", F.when(F.col("depth") < 0, minus(-2)).otherwise(F.col("depth")).alias("depth"), "way"))
     odd = placed.where("depth < 0")
-    above = (F.col("exit") == F.col("ring_exit")) & (F.col("tin") <= F.col("at")) & (F.col("at") < F.col("tin") + F.col("size"))
-    on = odd.where("depth = -1").join(entries, above, "left_semi").select(F.col("node_id").alias("oid"))
-    odd = odd.join(on, odd.node_id == on.oid, "left").select("node_id", "root_id", F.when(F.col("oid").isNotNull(), -1).otherwise(-2).cast("long").alias("depth"), "path")
-    out = local.unionByName(fine).unionByName(odd)
-    return out if with_paths else out.drop("path")
+    inside = (F.col("exit") == F.col("ring_exit")) & (F.col("tin") <= F.col("at")) & (F.col("at") < F.col("tin") + F.col("size"))
+    on = odd.where("depth = -1").join(entries, inside, "left_semi").select(F.col("id").alias("oid"))
+    odd = odd.join(on, F.col("id") == F.col("oid"), "left").select("id", "root", F.when(F.col("oid").isNotNull(), minus(-1)).otherwise(minus(-2)).alias("depth"), "way")
+    return local.unionByName(placed.where("depth >= 0").select("id", "root", "depth", "way")).unionByName(odd)
+
+
+def resolve_hierarchy(links: DataFrame, with_paths: bool = False, one_task: int = TASK_NODES, partitions: int | None = None) -> DataFrame:
+    """node_id, root_id, depth and, with `with_paths`, path (ids from the root to the node; null on or under a circle)
+    of each row of `links` (id, parent, block). depth -1: on a circle, -2: below one; root_id is then its smallest id.
+
+    `one_task`: nodes that a task holds (64 at least); `partitions`: tasks of the first level, by default as many as that takes."""
+    ship(links.sparkSession)
+    nodes = links.select("id", "parent", F.lit(1).cast("long").alias("steps"), F.col("parent").alias("low"), "block", *[F.array("id").alias("way")] * with_paths)
+    solved = _solve(nodes, with_paths, max(64, one_task), 0, partitions)
+    out = solved.select(F.col("id").alias("node_id"), F.col("root").alias("root_id"), "depth", *[F.when(F.col("depth") >= 0, F.concat(F.array("root"), "way")).alias("path")] * with_paths)
+    return out
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

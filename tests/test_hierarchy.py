@@ -74,3 +74,12 @@ def test_current_links(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], NODE)
     assert resolve_hierarchy(current_links(df), with_paths=True).count() == 0
+
+
+def test_blocks_larger_than_a_task_are_split(spark):
+    """One block holds all nodes, one node a third of them as children; circles run over many tasks."""
+    n = 1500
+    par = {f"{i:05d}": "00000" if i % 3 == 0 and i else (f"{i - 1:05d}" if i % 50 else None) for i in range(n)}
+    par |= {f"r{i}": f"r{(i + 1) % 700}" for i in range(700)} | {f"u{i}": f"r{i}" for i in range(0, 700, 70)}
+    df = spark.createDataFrame([(k, v, 0, "", 0) for k, v in par.items()], LINK)
+    assert {r.node_id: (r.root_id, r.depth) for r in resolve_hierarchy(df, one_task=200).collect()} == brute(par)

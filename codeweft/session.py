@@ -119,6 +119,16 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
             raise OSError(f"could not write {path}")
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    fs, p, jvm = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, sorted; none when it is missing."""
     fs, p, _ = _fs(spark, path)

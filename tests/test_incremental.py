@@ -70,3 +70,42 @@ def test_states_stand_for_the_batches_before(spark, tmp_path):
     m.process(9, latest_rows(files(spark, [("r", "a", "3", 1, T), ("r", "p1", "y", 1, T)])))
     assert rows(m.batches().where("run_id = 9"), "path", "sha256") == [("p1", "y")]
     assert ("p1", "y") in rows(m.last_taken(), "path", "sha256") and len(rows(m.last_taken())) == 5
+
+
+def test_thousands_of_runs(spark):
+    import random
+
+    rnd = random.Random(4)
+    n, hour = 5_000, timedelta(hours=1)
+    r = runs(spark, [(k, T + k * hour, rnd.choice(["succeeded", "succeeded", "failed"])) for k in range(n)])
+    data = [("r", f"p{rnd.randrange(40)}", str(rnd.randrange(3)), 1, T + timedelta(minutes=rnd.randrange(60 * n))) for _ in range(2_000)]
+    want, at = [], {}
+    ok = [(x.run_id, x.started_at) for x in r.where("status = 'succeeded'").orderBy("started_at").collect()]
+    rest = sorted(data, key=lambda x: (x[4], x[2]))
+    i = 0
+    for run, began in ok:
+        newest = {}
+        while i < len(rest) and rest[i][4] <= began:
+            newest[rest[i][1]] = rest[i][2]
+            i += 1
+        for p, sha in newest.items():
+            if at.get(p) != sha:
+                want.append((run, p, sha))
+            at[p] = sha
+    assert rows(replay_runs(files(spark, data), r, at_once=1_000), "run_id", "path", "sha256") == sorted(want, key=repr)
+
+
+def test_runs_caught_up_together_take_what_each_would_alone(spark, tmp_path):
+    data = [("r", "a", "1", 1, T), ("r", "a", "2", 1, T + D), ("r", "a", "2", 1, T + 2 * D), ("r", "a", "1", 1, T + 3 * D), ("r", "b", "1", 1, T + 2 * D)]
+    log = runs(spark, [(k, T + k * D, "succeeded") for k in (1, 2, 3, 4)])
+    alone, both = (rows(replay_runs(files(spark, data), log, f"file://{tmp_path}/m{k}", k), "run_id", "path", "sha256") for k in (1, 3))
+    assert alone == both == [(1, "a", "2"), (2, "b", "1"), (3, "a", "1")]
+    # Tried again over the same folder nothing is taken twice; a run that is new takes its part alone.
+    m = Manifest(spark, f"file://{tmp_path}/m3")
+    assert [r for _, r in m.committed()] == [1, 2, 3, 4]
+    listing = files(spark, [("r", "a", "9", 1, T)]).select("repo_id", "path", "sha256", "size_bytes")
+    from pyspark.sql import functions as F
+
+    assert not m.process([3, 4], listing.withColumn("run_id", F.lit(4).cast("long")))
+    assert m.process([4, 5], listing.withColumn("run_id", F.explode(F.array(F.lit(4).cast("long"), F.lit(5).cast("long")))))
+    assert rows(m.batches().where("seq = 5"), "run_id", "path", "sha256") == [(5, "a", "9")]

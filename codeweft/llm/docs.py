@@ -1,10 +1,11 @@
 """Functions paired with their documentation.
 
 The documentation of a function is its `docstring`, or where that is null the docstring in its body or the comment
-right above it in the source text. Candidate comments of a file and its functions are matched as a bipartite
-assignment that maximises the sum of scores from names, parameter tags and distance; links across a blank line or
-without any sign of belonging together are implausible and never made. Then pairs whose documentation says nothing
-are rejected.
+right right above it in the source text. Candidate comments of a file and all its functions are matched as a bipartite
+assignment that maximises the sum of scores from names, parameter tags and distance: each comment has a link to every
+function within a few lines, above or below it, across blank lines too, so that of several comments and functions close
+together each comment goes to the function it fits best. Of the pairs so found the implausible ones are rejected (across
+a blank line, or without a sign of belonging together), then those whose documentation says nothing.
 
 Functions with null id or deleted ones are left out; of rows with the same `ord` the deleted one holds. A function
 without file or start line can only have its `docstring`. Repeated source rows count once. Empty tables give no rows.
@@ -12,7 +13,9 @@ without file or start line can only have its `docstring`. Repeated source rows c
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +45,7 @@ _STAND_IN = frozenset(
 _CORE = frozenset(
     "todo fixme tbd tba xxx wip na n/a none placeholder document documentation undocumented doc docs docstring description describe comment comments summary missing stub auto-generated autogenerated self-explanatory obvious code lorem later beschreibung fehlt manquante pendiente falta".split()
 )
-_SMALL = frozenset("the a an of this that function method constructor class for to is does it its and or with from in on by as at be func def fn routine procedure helper returns return get gets set sets".split())
+_SMALL = frozenset("the a an of this that function method constructor class for to is does it its and or with from in on by as at be func def fn routine procedure helper returns return get gets set sets parameter parameters param params argument arguments args named called takes".split())
 _NOTE = re.compile(r"(?i)^\W*(?:todo|fixme|xxx|hack)\b")
 _SECTION = re.compile(r"(?i)^\s*(?:args?|arguments?|param(?:eter)?s?|returns?|raises?|yields?|throws|attributes?|notes?|examples?|see also|keyword args)\s*:?\s*$")
 _TAG = re.compile(r"^\s*(?::(?:param|parameter|arg|argument|type|raises?|returns?|rtype|yields?|var|ivar|key)\b([^:]*):|[@\\](?:param|arg|argument|returns?|throws|exception|raises?|type|rtype|typedef|template|tparam|yields?|see|since|author|version|name|memberof|class|constructor|function|method|this|callback)\b\s*(?:\{[^}]*\})?\s*(\[?[\w.$]*\]?)?\s*[-:]?)(.*)$")
@@ -100,6 +103,7 @@ def is_telling(doc: str | None, name: str | None, signature: str | None, params:
         s = line.strip()
         if not s:
             section = False
+            prose.append("")
             continue
         if _TOOL.match(s) or _LICENCE.search(s) or not re.search(r"[^\W_]", s) or re.match(r"^([-=*~#_/])\1{2,}.*\1{3,}$", s):
             continue
@@ -120,8 +124,9 @@ def is_telling(doc: str | None, name: str | None, signature: str | None, params:
         prose.append(s)
     if told:
         return True
-    text = " ".join(prose)
-    return any(_adds(x, known) for x in re.split(r"(?<=[.!?。！？])\s+|(?<=[。！？])", text) if x)
+    # A sentence ends at its stop, or with its paragraph.
+    paragraphs = " ".join(x or "\0" for x in prose).split("\0")
+    return any(_adds(x, known) for text in paragraphs for x in re.split(r"(?<=[.!?。！？])\s+|(?<=[。！？])", text) if x)
 
 
 def _adds(sentence: str, known: set[str]) -> bool:
@@ -142,6 +147,9 @@ def _adds(sentence: str, known: set[str]) -> bool:
 
 # --- candidate comments
 
+#: Lines by which a function may be off a comment's definition, and blank lines between them, to be linked at all.
+REACH = 3
+
 _DEF = re.compile(
     r"^\s*(?:(?:export|default|public|private|protected|static|final|abstract|async|synchronized|override|declare|readonly|get|set)\s+)*(?:def\s+(?P<py>\w+)|func\s+(?:\([^)]*\)\s*)?(?P<go>\w+)|function\s*\*?\s*(?P<fn>[\w$]+)|(?:const|let|var)\s+(?P<arrow>[\w$]+)[^=]*=|(?P<short>\w+)\s*:=\s*func\b|(?:[\w<>\[\],.? ]+\s)?\*?(?P<other>[\w$]+)\s*(?:<[^>]*>)?\(|(?:[\w<>]+\s)(?P<lambda>\w+)\s*=\s*\()"
 )
@@ -153,21 +161,21 @@ CANDIDATES = "repo_id string, path string, line int, gap int, name string, text
 
 
 def candidates(content: str, hashes: bool) -> list[tuple[int, int, str, str]]:
-    """(line of the code that follows, blank lines between, name that is defined there, text) of each comment or
-    docstring that could be a function's."""
+    """(line of the definition that follows, blank lines between, name that is defined there, text) of each comment or
+    docstring that could be a function's; a comment further than REACH blank lines from any definition is none."""
     lines = content.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     n, i, out = len(lines), 0, []
     block: list[str] = []
+    gap = 0
     while i < n:
         s = lines[i].strip()
-        if hashes and s.startswith("#"):
-            block.append(s)
-            i += 1
-        elif not hashes and s.startswith("//"):
-            block.append(s)
+        if hashes and s.startswith("#") or not hashes and s.startswith("//"):
+            # A blank line ends a comment: what follows is another.
+            block = [s] if gap else [*block, s]
+            gap = 0
             i += 1
         elif not hashes and s.startswith("/*"):
-            block = []
+            block, gap = [], 0
             while i < n:
                 block.append(lines[i].strip())
                 i += 1
@@ -179,9 +187,11 @@ def candidates(content: str, hashes: bool) -> list[tuple[int, int, str, str]]:
                 while j < n and _DECORATOR.match(lines[j]):
                     j += 1
                 if j < n and (m := _DEF.match(lines[j])):
-                    out.append((j + 1, 0, next(x for x in m.groups() if x), "\n".join(block)))
-            # A blank line ends a comment as well: what follows is another matter.
-            block = []
+                    out.append((j + 1, gap, next(x for x in m.groups() if x), "\n".join(block)))
+            if block and not s and gap < REACH:
+                gap += 1
+            else:
+                block, gap = [], 0
             if hashes and (m := re.match(r"\s*(?:async\s+)?def\s+(\w+)", lines[i])):
                 first = i
                 depth = 0
@@ -236,103 +246,117 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- assignment
 
-#: Lines by which a function may be off its comment's definition, and the least score of a plausible link.
-REACH, LEAST_SCORE = 2, 4.0
+#: Least score of a plausible link, and what a comment gets right above a function or in it.
+LEAST_SCORE, ADJACENT = 4.0, 20.0
 
 
 def score(f: dict, c: dict) -> float:
-    """Plausibility that comment `c` documents function `f`; 0 when it can't."""
+    """How well comment `c` fits function `f`, 0 for no link. A comment right above outweighs any two others, so the
+    assignment never trades it for weaker links; below LEAST_SCORE a link only competes."""
     off = abs(c["line"] - f["line"])
-    if off > REACH or c["gap"]:
+    if off > REACH:
         return 0.0
-    s = 3.0 - off
+    if c["gap"]:
+        # Across blank lines nothing is plausible.
+        return 1.0 / (1 + off + c["gap"])
+    s = REACH + 1.0 - off
     name = (f["name"] or "").rpartition(".")[2]
-    if name and c["name"] == name:
-        s += 3.0
-    elif off:
-        return 0.0
+    named = bool(name) and c["name"] == name
     tags = set(_TAG_NAME.findall(c["text"]))
     params = {p.lstrip("*.").partition(":")[0].strip() for p in f["params"] or [] if p}
-    if tags and params:
-        s += 2.0 * len(tags & params) / len(params)
-    return s
+    fit = len(tags & params) / len(params) if tags and params else 0.0
+    if not named:
+        # Of another name: plausible by tags on the very line only.
+        return min(s, 2.0) + fit if off else 3.0 + 2.0 * fit
+    return s + 3.0 + 2.0 * fit + (0.0 if off else ADJACENT)
 
 
 def assign(weights: list[list[float]]) -> list[int]:
-    """For each row the column of a maximum-weight bipartite matching, -1 for none (weights of 0 are no links).
-
-    Shortest augmenting paths with potentials, on the square of rows and columns plus one dummy column for each row."""
-    n = len(weights)
-    m = (len(weights[0]) if n else 0) + n
-    top = max((x for r in weights for x in r), default=0.0)
-    cost = [[top - x if x > 0 else top + 1.0 for x in r] + [top] * n for r in weights]
-    u, v, p, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        p[0], j0 = i, 0
-        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+    """For each row the column of a maximum-weight bipartite matching, -1 for none (weights of 0 are no links)."""
+    return match([{j: w for j, w in enumerate(r) if w > 0} for r in weights])
+
+
+def match(links: list[dict[int, float]]) -> list[int]:
+    """`assign` over each row's links only: shortest augmenting paths with potentials, each row with a free column of its
+    own (-1 - row) for being left alone."""
+    row_of: dict[int, int] = {}
+    got = [-1] * len(links)
+    top = [max(r.values(), default=0.0) for r in links]
+    u, v = [-x for x in top], {}
+    for first in range(len(links)):
+        dist: dict[int, float] = {}
+        back: dict[int, int] = {}
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        i, base, end = first, 0.0, None
+        while end is None:
+            for j, w in (*links[i].items(), (-1 - i, 0.0)):
+                d = base - w - u[i] - v.get(j, 0.0)
+                if j not in done and d < dist.get(j, float("inf")):
+                    dist[j], back[j] = d, i
+                    heapq.heappush(heap, (d, j))
+            while True:
+                base, j = heapq.heappop(heap)
+                if j not in done and base <= dist[j]:
+                    break
+            done.add(j)
+            if j in row_of:
+                i = row_of[j]
+            else:
+                end = j
+        for j in done:
+            if j in row_of:
+                u[row_of[j]] += base - dist[j]
+            v[j] = v.get(j, 0.0) + dist[j] - base
+        u[first] += base
+        j = end
         while True:
-            used[j0] = True
-            i0, delta, j1 = p[j0], float("inf"), 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    cur = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if cur < least[j]:
-                        least[j], way[j] = cur, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(m + 1):
-                if used[j]:
-                    u[p[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            j0 = j1
-            if not p[j0]:
+            i = back[j]
+            j, got[i] = got[i] if i != first else None, j
+            row_of[got[i]] = i
+            if j is None:
                 break
-        while j0:
-            p[j0] = p[way[j0]]
-            j0 = way[j0]
-    out = [-1] * n
-    for j in range(1, m - n + 1):
-        if p[j] and weights[p[j] - 1][j - 1] > 0:
-            out[p[j] - 1] = j - 1
-    return out
+    return [j if j >= 0 else -1 for j in got]
 
 
-def match_file(functions: list[dict], comments: list[dict]) -> list[tuple[dict, dict]]:
-    """Pairs of one file. Links only reach a few lines, so the graph falls into small parts, each solved exactly."""
-    links: dict[tuple[int, int], float] = {}
+def parts_of(functions: list[dict], comments: list[dict]) -> list[list[tuple[int, int, float]]]:
+    """The links of a file, (function, comment, score), by connected part."""
     by_line: dict[int, list[int]] = {}
     for j, c in enumerate(comments):
         by_line.setdefault(c["line"], []).append(j)
-    for i, f in enumerate(functions):
-        for line in range(f["line"] - REACH, f["line"] + REACH + 1):
-            for j in by_line.get(line, ()):
-                if (s := score(f, comments[j])) >= LEAST_SCORE:
-                    links[i, j] = s
-    group: dict[tuple[str, int], tuple[str, int]] = {}
-
-    def find(x):
+    links = [(i, j, s) for i, f in enumerate(functions) for line in range(f["line"] - REACH, f["line"] + REACH + 1) for j in by_line.get(line, ()) if (s := score(f, comments[j])) > 0]
+    group: dict[int, int] = {}
+
+    def find(x: int) -> int:
         while group.setdefault(x, x) != x:
             group[x] = group[group[x]]
             x = group[x]
         return x
 
-    for i, j in links:
-        group[find(("f", i))] = find(("c", j))
-    parts: dict = {}
-    for i, j in links:
-        parts.setdefault(find(("f", i)), []).append((i, j))
+    for i, j, _ in links:
+        group[find(i)] = find(-1 - j)
+    parts: dict[int, list] = {}
+    for link in links:
+        parts.setdefault(find(link[0]), []).append(link)
+    return list(parts.values())
+
+
+def match_file(functions: list[dict], comments: list[dict]) -> list[tuple[dict, dict]]:
+    """Pairs of one file, implausible ones left out; functions that need no comment (`own`) only compete."""
     pairs = []
-    for part in parts.values():
-        if len(part) == 1:
-            pairs.append((functions[part[0][0]], comments[part[0][1]]))
-            continue
-        fs, cs = sorted({i for i, _ in part}), sorted({j for _, j in part})
-        # Of candidates that are alike otherwise the one that says something is meant.
-        worth = {(i, j): s + 0.5 * is_telling(comments[j]["text"], functions[i]["name"], functions[i]["signature"], functions[i]["params"]) for (i, j), s in links.items() if i in fs and j in cs}
-        got = assign([[worth.get((i, j), 0.0) for j in cs] for i in fs])
-        pairs += [(functions[i], comments[cs[k]]) for i, k in zip(fs, got) if k >= 0]
+    for part in parts_of(functions, comments):
+        if len(part) > 1:
+            rows = sorted({i for i, _, _ in part})
+            place = {i: k for k, i in enumerate(rows)}
+            several = Counter(i for i, _, s in part if s >= LEAST_SCORE)
+            links: list[dict[int, float]] = [{} for _ in rows]
+            for i, j, s in part:
+                # Of candidates that are alike otherwise the one that says something is meant.
+                f = functions[i]
+                links[place[i]][j] = s + (0.5 * is_telling(comments[j]["text"], f["name"], f["signature"], f["params"]) if s >= LEAST_SCORE and several[i] > 1 else 0.0)
+            got = match(links)
+            part = [(i, j, links[k][j]) for k, (i, j) in enumerate(zip(rows, got)) if j >= 0]
+        pairs += [(functions[i], comments[j]) for i, j, s in part if s >= LEAST_SCORE and not functions[i].get("own")]
     return pairs
 
 
@@ -378,8 +402,8 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def function_docs(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """node_id, name, signature, documentation, telling of each current function that has any documentation.
 
-    The texts are searched where they are read; only comments before definitions and the functions without docstring
-    are sorted by file, and a task holds one file's at a time."""
+    The texts are searched where they are read; only comments before definitions and the functions
+    are sorted by file, and a task holds one file's at a time. Functions with a docstring compete for the comments."""
     ship(nodes.sparkSession)
     columns = ("kind", "name", "signature", "docstring", "parameters", "repo_id", "file_path", "start_line")
     newest = F.max_by(F.struct(*columns, F.col("deleted_at").isNotNull().alias("deleted")), F.struct("ord", F.col("deleted_at").isNotNull()))
@@ -396,10 +420,10 @@ def function_docs(nodes: DataFrame, sources: DataFrame) -> DataFrame:
         .where(F.col("content").isNotNull() & F.col("path").isNotNull())
         .mapInArrow(_scan, CANDIDATES)
         .distinct()
-        .select("*", F.lit(None).cast("string").alias("node_id"), F.lit(None).cast("string").alias("signature"), F.lit(None).cast("array<string>").alias("params"))
+        .select("*", F.lit(None).cast("string").alias("node_id"), F.lit(None).cast("string").alias("signature"), F.lit(None).cast("array<string>").alias("params"), F.lit(None).cast("boolean").alias("own"))
     )
-    bare = live.where(F.col("docstring").isNull() & F.col("start_line").isNotNull()).select(
-        "repo_id", plain_path(F.col("file_path")).alias("path"), F.col("start_line").alias("line"), F.lit(0).alias("gap"), "name", F.lit(None).cast("string").alias("text"), "node_id", "signature", F.col("parameters").alias("params")
+    functions = live.where(F.col("start_line").isNotNull()).select(
+        "repo_id", plain_path(F.col("file_path")).alias("path"), F.col("start_line").alias("line"), F.lit(0).alias("gap"), "name", F.lit(None).cast("string").alias("text"), "node_id", "signature", F.col("parameters").alias("params"), F.col("docstring").isNotNull().alias("own")
     )
-    paired = found.unionByName(bare).repartition("repo_id", "path").sortWithinPartitions("repo_id", "path", "line").mapInArrow(_pair, PAIRS)
+    paired = found.unionByName(functions).repartition("repo_id", "path").sortWithinPartitions("repo_id", "path", "line").mapInArrow(_pair, PAIRS)
     return own.unionByName(paired)

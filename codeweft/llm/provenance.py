@@ -1,10 +1,11 @@
 """Files that nobody of the project wrote by hand: generated, minified, data saved as code, and third-party copies.
 
-Third-party copies show in three ways: their directory tree or the file itself has the same Merkle hash in an unrelated
-repository; they lie in a directory kept for such copies; or their header names another owner. Generated files show by
-header by the marks generators put into names, or by
-routines counted through; minified ones and data show by layout. Prose about generating, vendoring
-or minifying is no evidence, nor is a word that only begins like a mark.
+Third-party copies show first by Merkle hashes: their directory tree or the file itself has the same hash in an unrelated
+repository (one that shares neither source nor any commit with it, directly or through others). Copies that no other
+repository holds in the same state can only show by the directory they lie in, kept for such copies, or by a header that
+names another owner; `why` tells these signals apart. Generated files show by header, by the marks generators put into
+names, or by routines counted through; minified ones and data show by layout. Prose about generating, vendoring or
+minifying is no evidence, nor is a word that only begins like a mark, nor an ordinary word like `pack` after an underscore.
 
 Null texts are left out; an empty text is hand-written. Paths are compared in plain spelling. Of several texts of one
 path any evidence counts. Rows of `files` with null path or hash don't enter the hashes. A null size is taken from other
@@ -35,7 +36,7 @@ DATA_SHARE, DATA_LITERALS = 0.75, 24
 THIRD_PARTY_DIRS = frozenset("vendor _vendor third_party third-party thirdparty node_modules bower_components jspm_packages external externals extern deps godeps upstream site-packages pods carthage".split())
 GENERATED_DIRS = frozenset("gen autogen generated auto-generated auto_generated __generated__ generated-sources generated_sources".split())
 _GENERATED_NAME = re.compile(r"(?:[._-](?:gen|generated|autogen|autogenerated|pb|pb2|pb2_grpc|designer|g)|[a-z0-9](?:Autogen|Generated)|\.d\.gen|_pb2|zz_generated\..*)$")
-_MINIFIED_NAME = re.compile(r"[._-](?:min|bundle|pack|packed|compiled|chunk)$")
+_MINIFIED_NAME = re.compile(r"[.-](?:min|bundle|pack|packed|compiled|chunk)$|_(?:min|bundle)$")
 
 # What headers of generated files say.
 _GENERATED_HEADER = re.compile(
@@ -144,10 +145,12 @@ def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
     A directory's hash is made of its children's names and hashes. They are folded with xor of two 64-bit hashes, which
     needs no order, so a directory is aggregated map-side however many children it has."""
     depth = F.size(F.split("path", "/"))
-    most = leaves.agg(F.max(depth)).first()[0] or 1
+    # Written by depth, so that each level reads its own files only.
+    leaves = stage(leaves.withColumn("depth", depth), "leaves-by-depth", ["depth"])
+    most = leaves.agg(F.max("depth")).first()[0] or 1
     levels: list[DataFrame] = []
     for level in range(most, 1, -1):
-        children = leaves.where(depth == level)
+        children = leaves.where(F.col("depth") == level).drop("depth")
         if levels:
             children = children.unionByName(levels[-1])
         name = F.element_at(F.split("path", "/"), -1)
@@ -169,11 +172,29 @@ def _sizes(versions: DataFrame, unknown: DataFrame, texts: DataFrame | None) ->
     return known.groupBy("sha").agg(F.coalesce(F.max("size_bytes"), F.max("bytes")).alias("known"))
 
 
-def shared_files(files: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+def repo_families(meta: DataFrame) -> DataFrame:
+    """repo_id, family (its smallest repo_id) of the repositories that share a source or commit with another, directly or
+    through others; of those that don't there is no row. Null and blank sources and commits link nothing."""
+    key = lambda mark, c: F.when(F.trim(c) != "", F.concat(F.lit(mark), F.lower(F.trim(c))))
+    keys = meta.where(F.col("repo_id").isNotNull()).select("repo_id", F.explode(F.array(key("s ", "source"), key("c ", "git_commit"))).alias("key")).where(F.col("key").isNotNull()).distinct()
+    shared = keys.groupBy("key").agg(F.count("*").alias("repos")).where("repos > 1").select("key")
+    keys = stage(keys.join(shared, "key", "left_semi"), "repo-keys")
+    labels = stage(keys.select("repo_id", F.col("repo_id").alias("family")).distinct(), "families-0")
+    k = 1
+    while True:
+        least = keys.join(labels, "repo_id").groupBy("key").agg(F.min("family").alias("least"))
+        moved = stage(keys.join(least, "key").groupBy("repo_id").agg(F.min("least").alias("family")), f"families-{k}")
+        if moved.join(labels, ["repo_id", "family"], "left_anti").isEmpty():
+            return moved
+        labels, k = moved, k + 1
+
+
+def shared_files(files: DataFrame, texts: DataFrame | None = None, meta: DataFrame | None = None, least_bytes: int = SHARED_BYTES) -> DataFrame:
     """repo_id, path of the files that lie in a subtree, or are a file, which an unrelated repository has as well.
 
-    `texts` has repo_id, path, bytes of texts. Of each path the latest version counts. A directory of which at least half of the files, and two, are shared is a
-    copy as a whole, locally changed files included."""
+    `texts` has repo_id, path, bytes of texts; `meta` tells which repositories are related (none are without it). Of each
+    path the latest version counts. A directory of which at least half of the files, and two, are shared is a copy as a
+    whole, locally changed files included. A file below `least_bytes` counts in such a directory or subtree only."""
     newest = F.max(F.struct("indexed_at", "sha", "size_bytes")).alias("v")
     versions = files.select("repo_id", plain_path(F.col("path")).alias("path"), plain_hash(F.col("sha256")).alias("sha"), F.col("size_bytes").cast("long").alias("size_bytes"), "indexed_at").where(
         F.col("sha").isNotNull() & (F.col("path") != "") & F.col("repo_id").isNotNull()
@@ -186,18 +207,22 @@ def shared_files(files: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     )
     trees = merkle_levels(leaves.drop("size"))
     every = leaves.select("repo_id", "path", "n", "h1", "h2", "size", F.lit(True).alias("leaf"))
+    family = F.col("repo_id")
     for t in trees:
         every = every.unionByName(t.select("*", F.lit(0).cast("long").alias("size"), F.lit(False).alias("leaf")))
     # A hash may be that of a third of all files: it is reduced map-side, and as the shared hashes are staged, the join
     # back has a plain exchange on either side that can be split, or a side small enough to be sent around.
+    owned = every
+    if meta is not None:
+        owned, family = every.join(repo_families(meta), "repo_id", "left"), F.coalesce("family", "repo_id")
     common = stage(
-        every.groupBy("n", "h1", "h2", "leaf")
-        .agg(F.min("repo_id").alias("a"), F.max("repo_id").alias("b"))
+        owned.groupBy("n", "h1", "h2", "leaf")
+        .agg(F.min(family).alias("a"), F.max(family).alias("b"))
         .where("a != b")
         .select("n", "h1", "h2", "leaf"),
         "common",
     )
-    marked = stage(every.join(common, ["n", "h1", "h2", "leaf"], "left_semi").where(~F.col("leaf") & (F.col("n") > 1) | F.col("leaf") & (F.col("size").isNull() | (F.col("size") >= SHARED_BYTES))), "shared")
+    marked = stage(every.join(common, ["n", "h1", "h2", "leaf"], "left_semi").where(~F.col("leaf") & (F.col("n") > 1) | F.col("leaf") & (F.col("size").isNull() | (F.col("size") >= least_bytes))), "shared")
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     per_dir = leaves.groupBy("repo_id", folder.alias("dir")).agg(F.count("*").alias("all"))
     hit = marked.where("leaf").groupBy("repo_id", folder.alias("dir")).agg(F.count("*").alias("hit"))
@@ -208,16 +233,17 @@ def shared_files(files: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     return above.join(whole, ["repo_id", "dir"], "left_semi").select("repo_id", "path").unionByName(marked.where("leaf").select("repo_id", "path")).distinct()
 
 
-def not_handwritten(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """repo_id, path, why of the files of `sources` that nobody of the project wrote by hand."""
+def not_handwritten(files: DataFrame, sources: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """repo_id, path, why of the files of `sources` that nobody of the project wrote by hand; what is shared between
+    repositories is named so, whatever else shows."""
     ship(sources.sparkSession)
     # The verdicts are staged: the text is read and judged once, and what follows works on a few short columns.
     judged = stage(
         sources.select("repo_id", plain_path(F.col("path")).alias("path"), "content", F.octet_length("content").alias("bytes")).where(F.col("content").isNotNull() & (F.col("path") != "")).mapInArrow(_judge, _FOUND),
         "judged",
     )
-    shared = shared_files(files, judged).withColumn("shared", F.lit(True))
-    why = F.coalesce("why", F.when(F.col("shared"), "shared between repositories"))
+    shared = shared_files(files, judged, meta).withColumn("shared", F.lit(True))
+    why = F.coalesce(F.when(F.col("shared"), "shared between repositories"), "why")
     return (
         judged.join(shared, ["repo_id", "path"], "left")
         .withColumn("why", why)

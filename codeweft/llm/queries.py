@@ -24,14 +24,17 @@ def p1_errors(spark: SparkSession, d: str) -> DataFrame:
     return verdicts.where("not accepted").select("repo_id", "file_path", "language", "first_cause", "errors")
 
 
+def _not_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, d, "files"), table(spark, d, "source_files"), table(spark, d, "repo_meta"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.not_handwritten(table(spark, d, "files"), table(spark, d, "source_files")).select("repo_id", "path")
+    return _not_handwritten(spark, d).select("repo_id", "path")
 
 
 def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Files per repository and kind of evidence."""
-    found = provenance.not_handwritten(table(spark, d, "files"), table(spark, d, "source_files"))
-    return found.groupBy("repo_id", "why").agg(F.count("*").alias("files"))
+    return _not_handwritten(spark, d).groupBy("repo_id", "why").agg(F.count("*").alias("files"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

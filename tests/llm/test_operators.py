@@ -71,6 +71,21 @@ def test_merkle_marks_shared_trees(spark):
     assert provenance.not_handwritten(files(spark, []), sources(spark, [])).count() == 0
 
 
+def test_related_repositories_are_no_evidence(spark):
+    meta = spark.createDataFrame(
+        [("a", "x.git", "1"), ("a", "x.git", None), ("b", "y.git", " 1 "), ("c", "y.git", "3"), ("d", "z.git", "4"), ("e", None, ""), ("f", None, ""), (None, "x.git", "1")], "repo_id string, source string, git_commit string"
+    )
+    assert rows(provenance.repo_families(meta)) == [("a", "a"), ("b", "a"), ("c", "a")]
+    assert provenance.repo_families(meta.limit(0)).count() == 0
+    f = files(spark, [(r, "lib/u.py", "1", 900, T) for r in "ac"] + [(r, "own/v.py", "2", 900, T) for r in "cd"])
+    assert rows(provenance.shared_files(f, None, meta), "repo_id", "path") == [("c", "own/v.py"), ("d", "own/v.py")]
+
+
+@pytest.mark.parametrize(("path", "found"), [("a/bucket_pack.py", False), ("a/bucket.pack.js", True), ("a/bucket-min.js", True), ("a/bucket_min.js", True), ("a/unpack.py", False)])
+def test_ordinary_words_in_names(path, found):
+    assert (provenance.evidence(path, CODE) is not None) == found
+
+
 # --- 7: functions with their documentation
 
 
@@ -205,3 +220,50 @@ def test_queries_run(spark, smallest):
     for name, f in queries.QUERIES.items():
         df = f(spark, smallest)
         assert df.count() >= 0 and len(df.columns) == len(set(df.columns)), name
+
+
+def test_sparse_matching_equals_the_dense_one_and_is_quick():
+    rnd = random.Random(9)
+    for _ in range(40):
+        n, m = rnd.randrange(1, 30), rnd.randrange(1, 30)
+        links = [{j: rnd.random() for j in range(m) if rnd.random() < 0.15} for _ in range(n)]
+        got = docs.match(links)
+        used = [j for j in got if j >= 0]
+        assert len(used) == len(set(used))
+        import numpy as np
+
+        # Brute force by dynamic programming over the columns used, feasible for few rows only.
+        if n <= 8:
+            best = {frozenset(): 0.0}
+            for r in links:
+                nxt = dict(best)
+                for s, w in best.items():
+                    for j, x in r.items():
+                        if j not in s:
+                            key = s | {j}
+                            nxt[key] = max(nxt.get(key, 0.0), w + x)
+                best = nxt
+            assert np.isclose(sum(links[i][j] for i, j in enumerate(got) if j >= 0), max(best.values()))
+    chain = [{k: 1.0 + rnd.random(), k + 1: 1.0 + rnd.random()} for k in range(5_000)]
+    assert sum(j >= 0 for j in docs.match(chain)) > 4_500
+
+
+def test_comments_close_together_go_to_the_function_they_fit():
+    f = lambda name, line, params=(), own=False: {"name": name, "line": line, "signature": name, "params": list(params), "own": own}
+    js = "// Opens it.\nconst a = (x) => 1;\n// Closes it.\nconst b = (y) => 2;\n\n// Far from c.\n\nconst c = () => 3;\n// @param {string} z what to keep\nconst d = (z) => 4;\n"
+    comments = [dict(zip(("line", "gap", "name", "text"), c)) for c in docs.candidates(js, False)]
+    assert [(c["line"], c["gap"], c["name"]) for c in comments] == [(2, 0, "a"), (4, 0, "b"), (8, 1, "c"), (10, 0, "d")]
+    functions = [f("a", 2, "x"), f("b", 4, "y"), f("c", 8), f("d", 10, "z")]
+    assert any(len(p) > 1 for p in docs.parts_of(functions, comments))
+    assert [(a["name"], b["name"]) for a, b in docs.match_file(functions, comments)] == [("a", "a"), ("b", "b"), ("d", "d")]
+    # Lines that moved: overloads take the comments in the order that fits all of them; one with a docstring only competes.
+    over = [f("m", 1, ["p"]), f("m", 3, ["q"], own=True)]
+    two = [{"line": 2, "gap": 0, "name": "m", "text": "@param p the first"}, {"line": 3, "gap": 0, "name": "m", "text": "@param q the second"}]
+    assert [(a["line"], b["line"]) for a, b in docs.match_file(over, two)] == [(1, 2)]
+
+
+@pytest.mark.parametrize("doc", ["Function load_config with the parameters path.", "load_config - load config\n\nFIXME describe parameters and result", "loadConfig - load config\n\nFIXME describe parameters and result"])
+def test_what_only_repeats_the_signature_is_not_telling(doc):
+    name = doc.split()[1] if doc.startswith("Function") else doc.split()[0]
+    assert not docs.is_telling(doc, name, f"def {name}(path)", ["path"])
+    assert docs.is_telling(doc + "\n\nReads the cache first.", name, f"def {name}(path)", ["path"])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codeweft import constants as C
 from codeweft.functions import lexical as L
 from codeweft.operators import resolve
-from codeweft.session import stage
+from codeweft.session import stage, stage_counted
 
 NODE_FIELDS = ["id", "name", "kind", "file_path", "start_line", "end_line", "language", "is_exported", "parent_id", "parent_class"]
 
@@ -36,6 +36,14 @@ def all_edges(nodes: DataFrame, calls: DataFrame, inheritance: DataFrame) -> Dat
     return reduce(DataFrame.unionByName, [df.withColumn("type", F.lit(t)) for t, df in parts.items()])
 
 
+def hop_edges(nodes: DataFrame, calls: DataFrame, inheritance: DataFrame | None = None) -> DataFrame:
+    """repo_id, src, dst: edges over which the same nodes are reached as over `all_edges`, or with the calls only, as over
+    the call edges; names and files are vertices of their own, so that nothing is multiplied out."""
+    if inheritance is None:
+        return resolve.call_hops(calls, nodes)
+    return resolve.call_hops(calls, nodes).union(resolve.import_hops(resolve.import_rows(nodes), nodes)).union(resolve.inheritance_edges(inheritance, nodes)).union(resolve.defines_edges(nodes))
+
+
 def merge_edges(edges: DataFrame) -> DataFrame:
     """One edge per (src, dst): of several types the strongest holds."""
     rank = F.array_position(F.array(*[F.lit(t) for t in C.EDGE_TYPES]), F.col("type"))
@@ -47,7 +55,8 @@ def entry_points(nodes: DataFrame) -> DataFrame:
 
 
 def reachable(starts: DataFrame, edges: DataFrame, edge_types: tuple[str, ...] | None = None) -> DataFrame:
-    """repo_id, id of everything that can be reached from `starts` along edges of the types (all by default).
+    """repo_id, id of every node that can be reached from `starts` along edges of the types (all by default), which may
+    lead over vertices of `hop_edges`.
 
     A frontier loop: each round joins the last round's nodes with the edges and drops what was seen. Rounds are staged,
     so neither plan nor lineage grows with them."""
@@ -57,9 +66,9 @@ def reachable(starts: DataFrame, edges: DataFrame, edge_types: tuple[str, ...] |
     k = 1
     while True:
         step = e.join(frontier.withColumnRenamed("id", "src"), ["repo_id", "src"], "left_semi").select("repo_id", F.col("dst").alias("id")).distinct()
-        frontier = stage(step.join(seen, ["repo_id", "id"], "left_anti"), f"reach-{k}")
-        if frontier.isEmpty():
-            return seen
+        frontier, found = stage_counted(step.join(seen, ["repo_id", "id"], "left_anti"), f"reach-{k}")
+        if not found:
+            return seen.where(~F.startswith("id", F.lit("\0")))
         seen = seen.unionByName(frontier)
         k += 1
 
@@ -77,7 +86,8 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def most_called(edges: DataFrame, nodes: DataFrame, k: int | None = None) -> DataFrame:
-    """repo_id, id, name, callers: nodes by their number of callers; the top k if given."""
+    """repo_id, id, name, callers: nodes by their number of callers; the top k if given. `edges` should be unmerged: where
+    an import stands for a call between the same nodes the merge leaves the import only."""
     n = edges.where("type = 'calls'").groupBy("repo_id", F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
     out = n.join(nodes.select("repo_id", "id", "name"), ["repo_id", "id"])
     return out.orderBy(F.desc("callers"), "id").limit(k) if k is not None else out

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.session import is_blank, stage
+from codeweft.session import is_blank, stage, stage_counted
 
 #: (table, field) pairs that refer to ir_nodes.id.
 REFERENCE_FIELDS = (
@@ -98,11 +98,11 @@ def _cascade(live: DataFrame, gone: DataFrame) -> DataFrame | None:
     """id, level of the live nodes under something that is gone."""
     rounds, frontier, level = [], gone, 1
     while True:
-        found = stage(
+        found, n = stage_counted(
             live.join(frontier, live.parent_id == F.col("above"), "left_semi").select("id", F.lit(level).alias("level")),
             f"orphans-{level}",
         )
-        if found.isEmpty():
+        if not n:
             break
         rounds.append(found)
         frontier, level = found.select(F.col("id").alias("above")), level + 1

@@ -8,23 +8,26 @@ Null ids and names resolve to nothing; repeated rows count once; empty tables gi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions import lexical as L
 from codeweft.session import is_blank, stage
 
 
-def _by_name(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """repo_id, src, dst: full name first; its last part only where no node has the full name.
-
-    `wanted`: repo_id, src, name. The decision is made per distinct (repo, name), so the edges meet the resolved names
-    in one join."""
+def _meant(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """repo_id, name, target: the full name first; its last part only where no node has the full name. The decision is made
+    per distinct (repo, name)."""
     names = wanted.select("repo_id", "name").distinct()
     have = nodes.select("repo_id", F.col("name").alias("known")).where(F.col("known").isNotNull()).distinct()
     full = names.join(have, (names.repo_id == have.repo_id) & (names.name == have.known), "left").select(names.repo_id, "name", F.coalesce("known", L.leaf(F.col("name"))).alias("target"))
     # Staged, so that both sides of the next join are plain exchanges and a hot name can be split.
-    full = stage(full, "names")
+    return stage(full, "names")
+
+
+def _by_name(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """repo_id, src, dst. `wanted`: repo_id, src, name; the edges meet the resolved names in one join."""
+    full = _meant(wanted, nodes)
     ids = nodes.select("repo_id", F.col("name").alias("target"), F.col("id").alias("dst"))
     return wanted.join(full, ["repo_id", "name"]).join(ids, ["repo_id", "target"]).select("repo_id", "src", "dst")
 
@@ -66,6 +69,21 @@ def call_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return typed_calls(edges, nodes).union(_by_name(wanted, nodes)).distinct()
 
 
+def vertex(kind: str, c: Column) -> Column:
+    """The id of a vertex that stands for a name or file; no node has such an id."""
+    return F.concat(F.lit(f"\0{kind} "), c)
+
+
+def call_hops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """repo_id, src, dst: the call edges with a vertex for each name between callers and called, so that a common name
+    costs its uses plus its nodes, not their product. The same nodes can be reached."""
+    wanted = _named(edges, nodes).union(_listed(nodes)).distinct()
+    full = _meant(wanted, nodes)
+    uses = wanted.join(full, ["repo_id", "name"]).select("repo_id", "src", vertex("name", F.col("target")).alias("dst"))
+    known = nodes.select("repo_id", F.col("name").alias("target"), "id").join(full.select("repo_id", "target").distinct(), ["repo_id", "target"], "left_semi")
+    return typed_calls(edges, nodes).union(uses).union(known.select("repo_id", vertex("name", F.col("target")), "id"))
+
+
 def import_rows(nodes: DataFrame) -> DataFrame:
     """repo_id, source_file, target_module of the import nodes: by the statement that names them, or where its language
     has no rule for that, the first of their `imports`."""
@@ -93,18 +111,37 @@ def import_files(imports: DataFrame, nodes: DataFrame) -> DataFrame:
     return imports.join(exact.union(ends).union(alike).distinct(), ["repo_id", "target_module"])
 
 
-def import_edges(imports: DataFrame, nodes: DataFrame) -> DataFrame:
-    """repo_id, src, dst: every node of the importing file to every node of the files meant, or if there are none, to
-    the nodes named so (by the full target, else by its stem); no node to itself."""
+def import_goals(imports: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repo_id, source_file, file_path), (repo_id, source_file, dst): the files that each file imports, and where no file
+    is meant, the nodes named so (by the full target, else by its stem)."""
     files = import_files(imports, nodes)
-    ids = nodes.select("repo_id", "file_path", F.col("id").alias("dst"))
-    by_file = files.select("repo_id", "source_file", "file_path").distinct().join(ids, ["repo_id", "file_path"]).select("repo_id", "source_file", "dst")
     rest = imports.join(files.select("repo_id", "target_module").distinct(), ["repo_id", "target_module"], "left_anti")
     named = nodes.select("repo_id", F.col("name").alias("wanted"), F.col("id").alias("dst"))
     full = rest.join(named, (rest.repo_id == named.repo_id) & (rest.target_module == named.wanted)).select(rest.repo_id, "source_file", "target_module", "dst")
     left = rest.join(full.select("repo_id", "target_module").distinct(), ["repo_id", "target_module"], "left_anti").withColumn("wanted", L.stem(F.col("target_module")))
     stem = left.join(named, ["repo_id", "wanted"]).select("repo_id", "source_file", "target_module", "dst")
-    targets = by_file.union(full.select("repo_id", "source_file", "dst")).union(stem.select("repo_id", "source_file", "dst")).distinct()
+    return files.select("repo_id", "source_file", "file_path").distinct(), full.select("repo_id", "source_file", "dst").union(stem.select("repo_id", "source_file", "dst")).distinct()
+
+
+def import_hops(imports: DataFrame, nodes: DataFrame) -> DataFrame:
+    """repo_id, src, dst: the import edges with vertices for files that import and are imported: as many rows as nodes,
+    pairs of files and named nodes, where `import_edges` has the product of two files' nodes for each pair."""
+    by_file, by_name = import_goals(imports, nodes)
+    by_file = stage(by_file, "file-imports")
+    own = nodes.select("repo_id", "file_path", "id")
+    importing = by_file.select("repo_id", F.col("source_file").alias("file_path")).union(by_name.select("repo_id", "source_file")).distinct()
+    out = own.join(importing, ["repo_id", "file_path"], "left_semi").select("repo_id", F.col("id").alias("src"), vertex("from", F.col("file_path")).alias("dst"))
+    across = by_file.select("repo_id", vertex("from", F.col("source_file")), vertex("to", F.col("file_path")))
+    into = own.join(by_file.select("repo_id", "file_path").distinct(), ["repo_id", "file_path"], "left_semi").select("repo_id", vertex("to", F.col("file_path")), "id")
+    return out.union(across).union(into).union(by_name.select("repo_id", vertex("from", F.col("source_file")), "dst"))
+
+
+def import_edges(imports: DataFrame, nodes: DataFrame) -> DataFrame:
+    """repo_id, src, dst: every node of the importing file to every node of the files meant, or to the nodes named so; no
+    node to itself. That is a product by definition; what only has to be walked goes by `import_hops`."""
+    files, named = import_goals(imports, nodes)
+    ids = nodes.select("repo_id", "file_path", F.col("id").alias("dst"))
+    targets = files.join(ids, ["repo_id", "file_path"]).select("repo_id", "source_file", "dst").union(named).distinct()
     src = nodes.select("repo_id", F.col("file_path").alias("source_file"), F.col("id").alias("src"))
     return targets.join(src, ["repo_id", "source_file"]).where("src != dst").select("repo_id", "src", "dst").distinct()
 

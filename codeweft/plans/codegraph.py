@@ -294,7 +294,6 @@ _EDGES = f"""{_CUR}, {_CALLS}, {_IMPORT_E}, {_INHERIT_E}, {_DEFINE_E},
   merged AS (SELECT repo_id, src, dst, arg_max(type, r) AS type FROM every GROUP BY repo_id, src, dst)"""
 _REACH = """entry AS (SELECT repo_id, id FROM cur WHERE coalesce(is_exported, TRUE) OR kind = 'module' OR name = 'main' OR (kind = 'function' AND regexp_matches(name, '^[A-Z]'))),
   reach AS (SELECT repo_id, id FROM entry UNION SELECT m.repo_id, m.dst FROM reach JOIN {} m ON m.repo_id = reach.repo_id AND m.src = reach.id)"""
-_CALLED = "only_calls AS (SELECT repo_id, src, dst FROM merged WHERE type = 'calls')"
 
 
 def _staged_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -307,6 +306,10 @@ def _merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return n, stage(edges, "merged")
 
 
+def _hops(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
+    return graph.hop_edges(nodes, table(spark, d, "ir_call_edges"), table(spark, d, "ir_inheritance_edges"))
+
+
 @query(f"WITH {_CUR}, {_TYPED} SELECT * FROM typed")
 def call_edges_typed(spark, d):
     return resolve.typed_calls(table(spark, d, "ir_call_edges"), _nodes(spark, d))
@@ -355,18 +358,21 @@ def entry_points(spark, d):
 
 @query(f"WITH RECURSIVE {_EDGES}, {_REACH.format('merged')} SELECT * FROM reach")
 def reachable_nodes(spark, d):
-    n, e = _merged(spark, d)
-    return graph.reachable(graph.entry_points(n), e)
+    n = _staged_nodes(spark, d)
+    return graph.reachable(graph.entry_points(n), _hops(spark, d, n))
 
 
 @query(f"WITH RECURSIVE {_EDGES}, {_REACH.format('merged')} SELECT repo_id, id, name, kind FROM cur WHERE kind IN ('function', 'method') AND (repo_id, id) NOT IN (SELECT (repo_id, id) FROM reach)")
 def dead_functions(spark, d):
-    return graph.dead_functions(*_merged(spark, d)).select("repo_id", "id", "name", "kind")
+    n = _staged_nodes(spark, d)
+    return graph.dead_functions(n, _hops(spark, d, n)).select("repo_id", "id", "name", "kind")
 
 
-@query(f"WITH RECURSIVE {_EDGES}, {_CALLED}, {_REACH.format('only_calls')} SELECT repo_id, id, name, kind FROM cur WHERE kind IN ('function', 'method') AND (repo_id, id) NOT IN (SELECT (repo_id, id) FROM reach)")
+@query(f"WITH RECURSIVE {_CUR}, {_CALLS}, {_REACH.format('calls_e')} SELECT repo_id, id, name, kind FROM cur WHERE kind IN ('function', 'method') AND (repo_id, id) NOT IN (SELECT (repo_id, id) FROM reach)")
 def dead_functions_by_calls(spark, d):
-    return graph.dead_functions(*_merged(spark, d), ("calls",)).select("repo_id", "id", "name", "kind")
+    """By all calls, also where an import leads from and to the same nodes, which the merged edges show instead."""
+    n = _staged_nodes(spark, d)
+    return graph.dead_functions(n, graph.hop_edges(n, table(spark, d, "ir_call_edges"))).select("repo_id", "id", "name", "kind")
 
 
 @query(f"WITH {_EDGES} SELECT repo_id, id FROM cur WHERE (repo_id, id) NOT IN (SELECT (repo_id, src) FROM merged) AND (repo_id, id) NOT IN (SELECT (repo_id, dst) FROM merged)")
@@ -374,10 +380,10 @@ def orphans(spark, d):
     return graph.orphans(*_merged(spark, d)).select("repo_id", "id")
 
 
-@query(f"WITH {_EDGES} SELECT m.repo_id, m.dst AS id, cur.name, CAST(count(*) AS BIGINT) AS callers FROM merged m JOIN cur ON cur.repo_id = m.repo_id AND cur.id = m.dst WHERE type = 'calls' GROUP BY ALL ORDER BY callers DESC, m.dst LIMIT 20")
+@query(f"WITH {_CUR}, {_CALLS} SELECT m.repo_id, m.dst AS id, cur.name, CAST(count(*) AS BIGINT) AS callers FROM calls_e m JOIN cur ON cur.repo_id = m.repo_id AND cur.id = m.dst GROUP BY ALL ORDER BY callers DESC, m.dst LIMIT 20")
 def most_called(spark, d):
-    n, e = _merged(spark, d)
-    return graph.most_called(e, n, 20)
+    n = _staged_nodes(spark, d)
+    return graph.most_called(resolve.call_edges(table(spark, d, "ir_call_edges"), n).withColumn("type", F.lit("calls")), n, 20)
 
 
 @query(f"WITH {_EDGES} SELECT m.repo_id, m.src AS id, cur.name, CAST(count(*) AS BIGINT) AS out_degree FROM merged m JOIN cur ON cur.repo_id = m.repo_id AND cur.id = m.src GROUP BY ALL")

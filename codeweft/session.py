@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -95,6 +95,13 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
+def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """`stage`, and how many rows that wrote: counted on the way, so that a loop needs no second job to see its end."""
+    seen = Observation()
+    out = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def is_blank(c: Column) -> Column:
     """True for null and for texts without a visible character."""
     return c.isNull() | ~c.rlike(r"(?U)\S")

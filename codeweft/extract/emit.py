@@ -21,6 +21,8 @@ class Emitted:
     errors: list[str] = field(default_factory=list)
     success: bool = True
     seen: set = field(default_factory=set)
+    #: Set when the text is to be read by patterns instead: the note that tells why.
+    by_patterns: str | None = None
 
     def make_id(self, name: str, line: int) -> str:
         return f"{self.repo_id}:{self.file_path}:{name}:{line}"[:128]

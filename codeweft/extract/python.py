@@ -6,7 +6,6 @@ import ast
 import re
 
 from codeweft.constants import PYTHON_ENUM_BASES, PYTHON_INTERFACE_BASES, PYTHON_NO_REFERENCE, PYTHON_NOISE
-from codeweft.extract import generic
 from codeweft.extract.emit import Emitted, parameter, unique
 
 #: Definitions are looked for in compound statements down to this depth; a statement and each clause and block count one.
@@ -179,11 +178,8 @@ def extract(text: str, path: str, repo: str) -> Emitted:
     try:
         tree = ast.parse(text.replace("\x00", ""))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        part = generic.extract(text, path, repo, "syntax errors: partial parse by patterns")
-        part.language = "python"
-        for n in part.nodes:
-            n["language"] = "python"
-        return part
+        out.by_patterns = "syntax errors: partial parse by patterns"
+        return out
     r = _Reader(text.replace("\x00", ""), out)
     module = out.make_id("__module__", 1)
     statements = []

@@ -15,7 +15,8 @@ from codeweft.extract import generic, go, javascript, python
 from codeweft.extract.emit import Emitted
 from codeweft.session import ship
 
-#: Language -> extractor; every other language is read by patterns. Add your own here before the first use of a session.
+#: Language -> extractor; every other language is read by patterns, in the JVM. Add your own here before the first use of a
+#: session.
 EXTRACTORS: dict[str, Callable[[str, str, str], Emitted]] = {"python": python.extract, "javascript": javascript.extract, "typescript": javascript.extract, "go": go.extract}
 
 
@@ -40,12 +41,29 @@ ROWS = (
 )
 
 
+def languages() -> list[str]:
+    """The languages with an extractor of their own, sorted."""
+    return sorted(EXTRACTORS)
+
+
+def extractor(language: str | None) -> Callable[[str, str, str], Emitted] | None:
+    """The extractor of a language, None where there is none."""
+    return EXTRACTORS.get((language or "").lower())
+
+#: What the extractors give back: `content` is set where a text is passed on to the patterns.
+_READ = ROWS + ", content string"
+
+
 def extract_file(text: str | None, path: str, repo: str, language: str | None) -> Emitted:
-    """One file; a null text (it could not be read) or a failing extractor gives a failed result, never an exception."""
+    """One file; a null text (it could not be read), a language without extractor or a failing extractor gives a failed
+    result, never an exception."""
     if text is None:
         return Emitted(repo, path, language or "unknown", errors=["file could not be read"], success=False)
+    run = extractor(language)
+    if run is None:
+        return Emitted(repo, path, language or "unknown", errors=[f"no extractor for {language or 'unknown'}"], success=False)
     try:
-        return EXTRACTORS.get(language or "", generic.extract)(text, path, repo)
+        return run(text, path, repo)
     except Exception as e:  # noqa: BLE001 - one file must not end the job
         return Emitted(repo, path, language or "unknown", errors=[f"extractor failed: {type(e).__name__}: {e}"], success=False)
 
@@ -63,6 +81,9 @@ def _rows(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         for r in b.to_pylist():
             e = extract_file(r["content"], r["path"], r["repo_id"], r["language"])
             key = {"repo_id": r["repo_id"], "file_path": r["path"], "language": e.language}
+            if e.by_patterns:
+                rows.append(key | {"ord": 0, "tag": "text", "success": True, "errors": [e.by_patterns], "content": r["content"]})
+                continue
             rows.append(key | {"ord": 0, "tag": "file", "success": e.success, "errors": e.errors})
             k = 0
             for tag, items in (("node", e.nodes), ("call", e.calls), ("import", e.imports), ("inherit", e.inherits)):
@@ -78,11 +99,30 @@ def _rows(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
 def extract(files: DataFrame) -> DataFrame:
     """Tagged rows of `files` (repo_id, path, language, content): a row `file` each, then `node`, `call`, `import` and
-    `inherit` rows. Read it through `stage` when more than one tag is wanted, so that texts are parsed once."""
+    `inherit` rows. Read it through `stage` when more than one tag is wanted, so that texts are parsed once.
+
+    Only texts in a language with an extractor go to Python; those that it passes on come back for the patterns."""
     ship(files.sparkSession)
-    run = partial(_rows, _arrow(ROWS))
-    wanted = files.where(F.col("path").isNotNull() & ~F.coalesce(F.col("language"), F.lit("")).isin(*C.UNPARSED_LANGUAGES))
-    return wanted.select("repo_id", "path", "language", "content").mapInArrow(run, ROWS)
+    known = F.lower(F.coalesce(F.col("language"), F.lit(""))).isin(*EXTRACTORS)
+    wanted = files.where(F.col("path").isNotNull() & ~F.coalesce(F.col("language"), F.lit("")).isin(*C.UNPARSED_LANGUAGES)).select("repo_id", "path", "language", "content")
+    read = wanted.where(known).mapInArrow(partial(_rows, _arrow(_READ)), _READ)
+    columns = [c for c in read.columns if c != "content"]
+    # In one pass: a text to be read by patterns becomes its rows, any other row stays one.
+    passed = F.col("tag") == "text"
+    read = generic.with_pattern_nodes(read, "file_path", F.col("language"), passed)
+    node_kind = read.schema["node"].dataType
+    several = F.when(passed, F.concat(F.array(F.lit(None).cast(node_kind)), F.transform("nodes", lambda x: x.cast(node_kind)))).otherwise(F.array("node"))
+    spread = read.select(*[c for c in columns if c != "node"], passed.alias("passed"), F.posexplode(several).alias("pos", "node"))
+    on = F.col("passed")
+    shown = {
+        "ord": F.when(on, F.col("pos")).otherwise(F.col("ord")), "tag": F.when(~on, F.col("tag")).when(F.col("pos") == 0, "file").otherwise("node"),
+        "success": F.when(~on | (F.col("pos") == 0), F.col("success")), "errors": F.when(~on | (F.col("pos") == 0), F.col("errors")),
+    }
+    by_reader = spread.select(*[shown.get(c, F.col(c)).alias(c) for c in columns])
+    plain = generic.by_patterns(wanted.where(~known))
+    kinds = {f.name: f.dataType for f in by_reader.schema}
+    by_pattern = plain.select(*[(F.col(c) if c in plain.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns])
+    return by_reader.union(by_pattern)
 
 
 def nodes(rows: DataFrame) -> DataFrame:

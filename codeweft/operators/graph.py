@@ -15,6 +15,9 @@ from codeweft.functions import lexical as L
 from codeweft.operators import resolve
 from codeweft.session import stage, stage_counted
 
+#: Edges that a round of `reachable` walks along: a round costs a job whatever it finds.
+HOPS = 3
+
 NODE_FIELDS = ["id", "name", "kind", "file_path", "start_line", "end_line", "language", "is_exported", "parent_id", "parent_class"]
 
 
@@ -58,14 +61,17 @@ def reachable(starts: DataFrame, edges: DataFrame, edge_types: tuple[str, ...] |
     """repo_id, id of every node that can be reached from `starts` along edges of the types (all by default), which may
     lead over vertices of `hop_edges`.
 
-    A frontier loop: each round joins the last round's nodes with the edges and drops what was seen. Rounds are staged,
-    so neither plan nor lineage grows with them."""
+    A frontier loop: each round joins the last round's nodes with the edges, HOPS times, and drops what was seen. Rounds are
+    staged, so neither plan nor lineage grows with them."""
     e = edges.where(F.col("type").isin(*edge_types)) if edge_types else edges
     e = stage(e.select("repo_id", "src", "dst").distinct(), "edges")
     seen = frontier = stage(starts.select("repo_id", "id").distinct(), "reach-0")
     k = 1
     while True:
-        step = e.join(frontier.withColumnRenamed("id", "src"), ["repo_id", "src"], "left_semi").select("repo_id", F.col("dst").alias("id")).distinct()
+        steps = [frontier]
+        for _ in range(HOPS):
+            steps.append(e.join(steps[-1].withColumnRenamed("id", "src"), ["repo_id", "src"], "left_semi").select("repo_id", F.col("dst").alias("id")).distinct())
+        step = reduce(DataFrame.union, steps[1:]).distinct()
         frontier, found = stage_counted(step.join(seen, ["repo_id", "id"], "left_anti"), f"reach-{k}")
         if not found:
             return seen.where(~F.startswith("id", F.lit("\0")))

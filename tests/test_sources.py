@@ -3,6 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 from codeweft import cli, pipeline
+from codeweft.extract import generic
 from codeweft.extract import table as xt
 from codeweft.sources import git
 from codeweft.sources.ignore import Ignore
@@ -124,6 +125,23 @@ def test_failed_files(spark):
     del xt.EXTRACTORS["broken"]
 
 
+def test_patterns(spark):
+    text = "import a\r\nx = 1\nexport class K {\n  // import a\n}\nfunction f(p: int,\n  q=2) {}\nlet g = async (\n) => 1; const h = (z) => 2\nimport\n  b\n\x01 def é(ñ):\n"
+    df = spark.createDataFrame([("r", "d/t.x", None, text), ("r", "e.x", "lua", ""), ("r", "n.x", None, None), (None, "noext", None, "class A")], "repo_id string, path string, language string, content string")
+    out = generic.by_patterns(df.withColumn("nodes", F.lit("clash")).drop("nodes"))
+    assert rows(out.where("tag = 'file'"), "file_path", "language", "success") == [("d/t.x", "x", True), ("e.x", "x", True), ("n.x", "unknown", False), ("noext", "unknown", True)]
+    n = out.where("tag = 'node' and file_path = 'd/t.x'").select("ord", "node.*")
+    assert [tuple(r) for r in n.orderBy("ord").select("kind", "name", "start_line", "start_col", "parameters").collect()] == [
+        ("module", "d/t.x", 1, 0, []), ("import", "import a", 1, 0, []), ("import", "import\n  b", 1, 0, []), ("class", "K", 3, 0, []), ("function", "é", 12, 0, ["ñ"]),
+        ("function", "f", 5, 1, ["p", "q"]), ("function", "g", 8, 0, []), ("function", "h", 9, 8, ["z"]),
+    ]
+    module = n.where("kind = 'module'").first()
+    assert module.end_line == 12 and len(module.children) == 7 and module.imports == ["import a", "import\n  b"]
+    assert rows(out.where("node.kind = 'module' and file_path = 'e.x'"), "node.end_line", "node.children") == [(0, [])]
+    assert out.limit(0).count() == 0 and generic.by_patterns(df.limit(0)).count() == 0
+    assert xt.languages() == ["go", "javascript", "python", "typescript"] and xt.extractor("Python") is not None and xt.extractor("cobol") is None and xt.extractor(None) is None
+
+
 def test_cli(spark, tmp_path, capsys, monkeypatch):
     import pytest
 

@@ -53,9 +53,11 @@ class Emitted:
     def link_children(self) -> None:
         """Fill `children` from the parent ids, in order, each once."""
         by_id = {n["id"]: n for n in self.nodes}
+        linked = set()
         for n in self.nodes:
-            parent = by_id.get(n["parent_id"])
-            if parent is not None and n["id"] not in parent["children"]:
+            parent, link = by_id.get(n["parent_id"]), (n["parent_id"], n["id"])
+            if parent is not None and link not in linked:
+                linked.add(link)
                 parent["children"].append(n["id"])
 
 

@@ -1,4 +1,4 @@
-"""Languages without an extractor of their own, by patterns, as column expressions: modules, imports, classes, functions.
+"""Languages without an extractor of their own, by patterns, as SQL expressions: modules, imports, classes, functions.
 
 A file's text never leaves the JVM. Where a pattern matches, a mark is put into the text; cut into lines, the marks give
 each match's line and column, and stand in the order of the matches themselves. A null text gives a failed result; a
@@ -7,7 +7,7 @@ text without matches a module only. Edges aren't read. Lines end at a line feed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # What functions (name and parameters), classes (name) and imports look like, in the order in which they
@@ -26,100 +26,92 @@ IMPORTS = (
     r'^[ \t]*import\s+"[\w./]+"',
 )
 #: What stands for a match in a text; texts that have it themselves have a blank there instead.
-_MARK = "\x01"
+_MARK = r"'\u0001'"
+_NONE, _EMPTY = "CAST(NULL AS STRING)", "CAST(array() AS ARRAY<STRING>)"
 
 
-def label(path: Column) -> Column:
-    """A file's extension stands for its language."""
-    return F.when(path.contains("."), F.lower(F.substring_index(path, ".", -1))).otherwise("unknown")
+def _text(s: str) -> str:
+    """A SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Array of (match, line, col, shown): where each match begins, and the line that holds its beginning."""
-    pattern = _FLAGS + pattern
-    lines = F.split(F.regexp_replace(text, pattern, _MARK + "$0"), "\n")
+def _regex(pattern: str) -> str:
+    return _text(_FLAGS + pattern)
 
-    def spots(line: Column, k: Column) -> Column:
-        parts = F.split(line, _MARK)
-        shown = F.regexp_replace(F.regexp_replace(line, _MARK, ""), r"\r$", "")
-        at = lambda j: F.length(F.array_join(F.slice(parts, F.lit(1), j), ""))
-        return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda j: F.struct((k + 1).alias("line"), at(j).alias("col"), shown.alias("shown"))))
 
-    found = F.flatten(F.filter(F.transform(lines, spots), lambda x: x.isNotNull()))
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.zip_with(matches, found, lambda m, s: F.struct(m.alias("match"), s["line"].alias("line"), s["col"].alias("col"), s["shown"].alias("shown")))
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, {_text(r'(?U)^\s+|\s+$')}, '')"
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+def _id(name: str, line: str, path: str) -> str:
+    return f"substring(concat_ws(':', repo_id, {path}, {name}, CAST({line} AS STRING)), 1, 128)"
 
 
-def _node(prefix: Column, id_name: Column, name: Column, kind: Column, line: Column, end: Column, col: Column, end_col: Column, path: Column, language: Column, parent: Column, signature: Column, imports: Column, parameters: Column) -> Column:
-    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
-    typed = F.transform(parameters, lambda p: F.struct(p.alias("name"), F.lit(None).cast("string").alias("type")))
-    made = {
-        "id": F.substring(F.concat_ws(":", prefix, id_name, line.cast("string")), 1, 128), "name": name, "kind": kind, "file_path": path, "start_line": line, "end_line": end, "start_col": col, "end_col": end_col, "language": language,
-        "parent_id": parent, "children": empty, "value": none, "typed_parameters": typed, "parent_class": none, "return_type": none, "docstring": none, "signature": signature, "is_exported": F.lit(True),
-        "parameters": parameters, "calls": empty, "imports": imports, "bases": empty, "decorators": empty, "ref_names": empty,
-    }
-    return F.struct(*[c.alias(n) for n, c in made.items()])
+def _matches(pattern: str, fields: str) -> str:
+    """Array of `fields`, made of `m` (the match) and `s` (line, col, shown: where it begins, and the line that holds that)."""
+    r = _regex(pattern)
+    spot = f"named_struct('line', k + 1, 'col', length(array_join(slice(split(x, {_MARK}), 1, j), '')), 'shown', regexp_replace(replace(x, {_MARK}, ''), '\\r$', ''))"
+    marked = rf"transform(split(regexp_replace(p_text, {r}, concat({_MARK}, '$0')), '\n'), (x, k) -> IF(size(split(x, {_MARK})) > 1, transform(sequence(1, size(split(x, {_MARK})) - 1), j -> {spot}), NULL))"
+    return f"zip_with(regexp_extract_all(p_text, {r}, 0), flatten(filter({marked}, x -> x IS NOT NULL)), (m, s) -> named_struct({fields}))"
+
 
+def _function(pattern: str) -> str:
+    r = _regex(pattern)
+    return _matches(pattern, f"'name', regexp_extract(m, {r}, 1), 'given', regexp_extract(m, {r}, 2), 'line', s.line, 'col', s.col, 'shown', s.shown")
 
-def _first_of_each(functions: Column) -> Column:
-    """Of functions with one name and line the first; only a text that has such is searched for them."""
-    keys = F.transform(functions, lambda f: F.concat_ws(":", f["name"], f["line"].cast("string")))
-    single = F.filter(functions, lambda f, k: F.array_position(keys, F.concat_ws(":", f["name"], f["line"].cast("string"))) == k + 1)
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), functions).otherwise(single)
 
+# An element: named_struct of what differs between elements.
+_ELEMENT = "named_struct('id_name', {0}, 'name', {1}, 'kind', {2}, 'line', {3}, 'col', {4}, 'end_col', {5}, 'signature', {6}, 'imports', {7}, 'parameters', {8})".format
+_FOUND = "array_distinct(flatten(array(" + ", ".join(f"transform(regexp_extract_all(p_text, {_regex(p)}, 0), x -> {_strip('x')})" for p in IMPORTS) + ")))"
+#: The text before an import's first place; one that spans lines is in no line and counts for the first.
+_BEFORE = r"IF(contains(x, '\n'), '', substring(p_text, 1, position(x, p_text) - 1))"
+_IMPORT_COL = rf"length(substring_index({_BEFORE}, '\n', -1))"
+_IMPORT = _ELEMENT("substring(x, 1, 40)", "x", "'import'", rf"size(split({_BEFORE}, '\n'))", _IMPORT_COL, f"{_IMPORT_COL} + length(x)", _NONE, "array(x)", _EMPTY)
+_CLASS_NAME = f"regexp_extract(m, {_regex(CLASS)}, 1)"
+_CLASS = _ELEMENT(_CLASS_NAME, _CLASS_NAME, "'class'", "s.line", "s.col", "s.col + length(s.shown)", _strip("s.shown"), _EMPTY, _EMPTY).removeprefix("named_struct(").removesuffix(")")
+_PARAMETERS = f"transform(filter(transform(split(f.given, ','), p -> {_strip('p')}), p -> p <> ''), p -> {_strip("substring_index(substring_index(p, ':', 1), '=', 1)")})"
+_FUNCTION = _ELEMENT("f.name", "f.name", "IF(f.name IN ('__init__', 'constructor'), 'constructor', 'function')", "f.line", "f.col", "f.col + length(f.shown)", _strip("f.shown"), _EMPTY, _PARAMETERS)
+_KEY = "concat_ws(':', f.name, CAST(f.line AS STRING))"
 
-def with_pattern_nodes(files: DataFrame, path: str, language: Column, on: Column) -> DataFrame:
+
+def with_pattern_nodes(files: DataFrame, path: str, language: str, on: str) -> DataFrame:
     """`files` (repo_id, `path`, content) with the array `nodes` of each text where `on` holds, null elsewhere: its module
-    with all others as children, imports, classes, functions. Built column by column, so that each is computed once."""
-    repo, file = F.col("repo_id"), F.col(path)
-    prefix, empty, none = F.concat_ws(":", repo, file), F.array().cast("array<string>"), F.lit(None).cast("string")
-    module_id = F.substring(F.concat_ws(":", prefix, F.lit("__module__"), F.lit("1")), 1, 128)
-    text, statements = F.col("p_text"), F.col("p_statements")
-
-    def import_node(s: Column) -> Column:
-        # The first line that holds the statement; one that spans lines is in none, and counts for the first.
-        before = F.when(s.contains("\n"), "").otherwise(F.substring(text, F.lit(1), F.position(s, text) - 1))
-        line, col = F.size(F.split(before, "\n")), F.length(F.substring_index(before, "\n", -1))
-        return _node(prefix, F.substring(s, 1, 40), s, F.lit("import"), line, line, col, col + F.length(s), file, language, module_id, none, F.array(s), empty)
-
-    def class_node(m: Column) -> Column:
-        name = F.regexp_extract(m["match"], _FLAGS + CLASS, 1)
-        return _node(prefix, name, name, F.lit("class"), m["line"], m["line"], m["col"], m["col"] + F.length(m["shown"]), file, language, module_id, _strip(m["shown"]), empty, empty)
-
-    def read(pattern: str) -> Column:
-        group = lambda m, k: F.regexp_extract(m["match"], _FLAGS + pattern, k)
-        return F.transform(_matches(text, pattern), lambda m: F.struct(group(m, 1).alias("name"), group(m, 2).alias("given"), m["line"].alias("line"), m["col"].alias("col"), m["shown"].alias("shown")))
-
-    def function_node(f: Column) -> Column:
-        given = F.filter(F.transform(F.split(f["given"], ","), _strip), lambda p: p != "")
-        parameters = F.transform(given, lambda p: _strip(F.substring_index(F.substring_index(p, ":", 1), "=", 1)))
-        kind = F.when(f["name"].isin("__init__", "constructor"), "constructor").otherwise("function")
-        return _node(prefix, f["name"], f["name"], kind, f["line"], f["line"], f["col"], f["col"] + F.length(f["shown"]), file, language, module_id, _strip(f["shown"]), empty, parameters)
-
-    found = F.array_distinct(F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(_FLAGS + p), F.lit(0)), _strip) for p in IMPORTS])))
-    n_lines = F.size(F.split(text, "\n")) - F.when(F.endswith(text, F.lit("\n")) | (text == ""), 1).otherwise(0)
-    below = F.array_distinct(F.transform("p_rest", lambda x: x["id"]))
-    one, zero = F.lit(1), F.lit(0)
-    module = _node(prefix, F.lit("__module__"), file, F.lit("module"), one, n_lines.cast("int"), zero, zero, file, language, none, none, statements, empty)
-    made = files.withColumn("p_text", F.when(on, F.translate("content", _MARK, " ")))
-    made = made.withColumns({"p_statements": found, "p_functions": F.concat(*[read(p) for p in FUNCTIONS])}).withColumn("p_functions", _first_of_each(F.col("p_functions")))
-    made = made.withColumn("p_rest", F.concat(F.transform(statements, import_node), F.transform(_matches(text, CLASS), class_node), F.transform("p_functions", function_node)))
-    return made.withColumn("nodes", F.concat(F.array(module.withField("children", below)), F.col("p_rest"))).drop("p_text", "p_statements", "p_functions", "p_rest")
+    with all others as children, imports, classes, functions. `language` and `on` are SQL. Built column by column, so
+    that each is computed once."""
+    module = _id("'__module__'", "1", path)
+    lines = r"size(split(p_text, '\n')) - IF(endswith(p_text, '\n') OR p_text = '', 1, 0)"
+    first = _ELEMENT("'__module__'", path, "'module'", "1", "0", "0", _NONE, "p_statements", _EMPTY)
+    node = {
+        "id": _id("x.id_name", "x.line", path), "name": "x.name", "kind": "x.kind", "file_path": path, "start_line": "x.line", "end_line": f"IF(i = 0, {lines}, x.line)", "start_col": "x.col", "end_col": "x.end_col", "language": language,
+        "parent_id": f"IF(i = 0, NULL, {module})", "children": f"IF(i = 0, array_distinct(transform(p_rest, y -> {_id('y.id_name', 'y.line', path)})), {_EMPTY})", "value": _NONE,
+        "typed_parameters": f"transform(x.parameters, p -> named_struct('name', p, 'type', {_NONE}))", "parent_class": _NONE, "return_type": _NONE, "docstring": _NONE, "signature": "x.signature", "is_exported": "TRUE",
+        "parameters": "x.parameters", "calls": _EMPTY, "imports": "x.imports", "bases": _EMPTY, "decorators": _EMPTY, "ref_names": _EMPTY,
+    }
+    steps = (
+        ("p_text", f"IF({on}, translate(content, {_MARK}, ' '), NULL)"),
+        ("p_statements", _FOUND),
+        ("p_functions", "concat(" + ", ".join(map(_function, FUNCTIONS)) + ")"),
+        ("p_keys", f"transform(p_functions, f -> {_KEY})"),
+        # Of functions with one name and line the first; only a text that has such is searched for them.
+        ("p_functions", f"IF(size(array_distinct(p_keys)) = size(p_keys), p_functions, filter(p_functions, (f, i) -> array_position(p_keys, {_KEY}) = i + 1))"),
+        ("p_rest", f"concat(transform(p_statements, x -> {_IMPORT}), {_matches(CLASS, _CLASS)}, transform(p_functions, f -> {_FUNCTION}))"),
+        ("nodes", f"transform(concat(array({first}), p_rest), (x, i) -> named_struct({', '.join(f"'{n}', {c}" for n, c in node.items())}))"),
+    )
+    for name, made in steps:
+        files = files.withColumn(name, F.expr(made))
+    return files.drop(*{name for name, _ in steps} - {"nodes"})
 
 
 def by_patterns(files: DataFrame) -> DataFrame:
     """Rows `file` and `node` of `files` (repo_id, path, language, content): repo_id, file_path, language, ord, tag, node,
     success, errors."""
-    lang, read = label(F.col("path")), F.col("content").isNotNull()
-    made = with_pattern_nodes(files, "path", lang, read)
-    note = F.when(read, F.concat(lang, F.lit(": read by patterns, structure is only approximate"))).otherwise(F.lit("file could not be read"))
+    files = files.select("repo_id", "path", "language", "content", F.expr("IF(contains(path, '.'), lower(substring_index(path, '.', -1)), 'unknown')").alias("label"), F.col("content").isNotNull().alias("read"))
+    made = with_pattern_nodes(files, "path", "label", "read")
     kind = made.schema["nodes"].dataType
     # The file's own row stands before its nodes.
     nodes = F.concat(F.array(F.lit(None).cast(kind.elementType)), F.coalesce("nodes", F.array().cast(kind)))
-    every = made.select("repo_id", F.col("path").alias("file_path"), F.when(read, lang).otherwise(F.coalesce("language", F.lit("unknown"))).alias("language"), note.alias("note"), read.alias("read"), F.posexplode(nodes).alias("ord", "node"))
-    file = F.col("ord") == 0
-    return every.select("repo_id", "file_path", "language", "ord", F.when(file, "file").otherwise("node").alias("tag"), "node", F.when(file, F.col("read")).alias("success"), F.when(file, F.array("note")).alias("errors"))
+    every = made.select("repo_id", "path", "language", "label", "read", F.posexplode(nodes).alias("ord", "node"))
+    return every.selectExpr(
+        "repo_id", "path AS file_path", "IF(read, label, coalesce(language, 'unknown')) AS language", "ord", "IF(ord = 0, 'file', 'node') AS tag", "node", "IF(ord = 0, read, NULL) AS success",
+        "IF(ord = 0, array(IF(read, concat(label, ': read by patterns, structure is only approximate'), 'file could not be read')), NULL) AS errors",
+    )

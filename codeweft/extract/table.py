@@ -108,21 +108,15 @@ def extract(files: DataFrame) -> DataFrame:
     read = wanted.where(known).mapInArrow(partial(_rows, _arrow(_READ)), _READ)
     columns = [c for c in read.columns if c != "content"]
     # In one pass: a text to be read by patterns becomes its rows, any other row stays one.
-    passed = F.col("tag") == "text"
-    read = generic.with_pattern_nodes(read, "file_path", F.col("language"), passed)
-    node_kind = read.schema["node"].dataType
-    several = F.when(passed, F.concat(F.array(F.lit(None).cast(node_kind)), F.transform("nodes", lambda x: x.cast(node_kind)))).otherwise(F.array("node"))
-    spread = read.select(*[c for c in columns if c != "node"], passed.alias("passed"), F.posexplode(several).alias("pos", "node"))
-    on = F.col("passed")
-    shown = {
-        "ord": F.when(on, F.col("pos")).otherwise(F.col("ord")), "tag": F.when(~on, F.col("tag")).when(F.col("pos") == 0, "file").otherwise("node"),
-        "success": F.when(~on | (F.col("pos") == 0), F.col("success")), "errors": F.when(~on | (F.col("pos") == 0), F.col("errors")),
-    }
-    by_reader = spread.select(*[shown.get(c, F.col(c)).alias(c) for c in columns])
+    read = generic.with_pattern_nodes(read, "file_path", "language", "tag = 'text'")
+    kind = read.schema["node"].dataType.simpleString()
+    several = F.expr(f"IF(tag = 'text', concat(array(CAST(NULL AS {kind})), transform(nodes, x -> CAST(x AS {kind}))), array(node))")
+    spread = read.select(*[c for c in columns if c != "node"], F.posexplode(several).alias("pos", "node"))
+    shown = {"ord": "IF(tag = 'text', pos, ord)", "tag": "CASE WHEN tag <> 'text' THEN tag WHEN pos = 0 THEN 'file' ELSE 'node' END", "success": "IF(pos = 0, success, NULL)", "errors": "IF(pos = 0, errors, NULL)"}
+    by_reader = spread.selectExpr(*[f"{shown.get(c, c)} AS {c}" for c in columns])
     plain = generic.by_patterns(wanted.where(~known))
-    kinds = {f.name: f.dataType for f in by_reader.schema}
-    by_pattern = plain.select(*[(F.col(c) if c in plain.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns])
-    return by_reader.union(by_pattern)
+    kinds = {f.name: f.dataType.simpleString() for f in by_reader.schema}
+    return by_reader.union(plain.selectExpr(*[f"CAST({c if c in plain.columns else 'NULL'} AS {kinds[c]}) AS {c}" for c in columns]))
 
 
 def nodes(rows: DataFrame) -> DataFrame:

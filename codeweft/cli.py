@@ -1,4 +1,4 @@
-"""Command line: ingest, parse, graph. A bare source means `ingest SOURCE`."""
+"""Command line: ingest, parse, graph, visualize. A bare source means `ingest SOURCE`."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-COMMANDS = ("ingest", "parse", "graph")
+COMMANDS = ("ingest", "parse", "graph", "visualize")
 
 
 def _session() -> SparkSession:
@@ -22,16 +22,19 @@ def _session() -> SparkSession:
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="codeweft", description="Code intelligence over source repositories.")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, text in (("ingest", "List a repository and find what changed."), ("parse", "Ingest, then extract program elements."), ("graph", "Parse, then build the dependency graph and report unreachable functions.")):
+    for name, text in (("ingest", "List a repository and find what changed."), ("parse", "Ingest, then extract program elements."), ("graph", "Parse, then build the dependency graph and report unreachable functions."), ("visualize", "Build and draw the dependency graph, of a stored repository too.")):
         c = sub.add_parser(name, help=text, description=text)
         c.add_argument("source", help="address of a repository or a directory")
         c.add_argument("-b", "--branch")
-        c.add_argument("-f", "--force", action="store_true", help="treat every file as new")
+        c.add_argument("-f", "--force", action="store_true", help="drop the stored manifest: every file is new")
         c.add_argument("-v", "--verbose", action="store_true")
         c.add_argument("--store", default=os.environ.get("CODEWEFT_STORE", os.path.join(os.path.expanduser("~"), ".codeweft", "store")), help="folder of the tables")
         if name == "graph":
             c.add_argument("-z", "--visualize", action="store_true", help="Generate an HTML visualization")
+        if name in ("graph", "visualize"):
             c.add_argument("-o", "--output", default="graph.html", help="file of the visualization")
+        if name == "visualize":
+            c.add_argument("--skip-ingest", action="store_true", help="the source is the id of a stored repository; nothing is read anew")
     return p
 
 
@@ -47,12 +50,42 @@ def main(argv: list[str] | None = None) -> int:
         argv.insert(0, "ingest")
     args = _parser().parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if args.verbose else logging.WARNING)
-    from codeweft import pipeline, render
-    from codeweft.operators import graph, manifest
+    from codeweft.session import drop_staged
     from codeweft.sources.store import Store
 
     spark = _session()
-    store = Store(spark, args.store)
+    try:
+        return _run(args, spark, Store(spark, args.store))
+    finally:
+        drop_staged(spark)
+
+
+def _draw(args: argparse.Namespace, store, repo_id: str) -> int:
+    """Build, report and draw the graph of a stored repository."""
+    from codeweft import pipeline, render
+    from codeweft.operators import graph
+
+    nodes, edges = pipeline.build_graph(store, repo_id)
+    _show("Graph", graph.graph_stats(nodes, edges).collect(), ("nodes", "edges", "orphans"))
+    dead = graph.dead_functions(nodes, edges)
+    print(f"Unreachable functions: {dead.count()}")
+    _show("First 20", dead.orderBy("file_path", "start_line").limit(20).collect(), ("file_path", "start_line", "name"))
+    if args.command == "visualize" or args.visualize:
+        with open(args.output, "w", encoding="utf-8") as f:
+            f.write(render.html(nodes, edges, repo_id))
+        print(f"wrote {args.output}")
+    return 0
+
+
+def _run(args: argparse.Namespace, spark: SparkSession, store) -> int:
+    from codeweft import pipeline
+    from codeweft.operators import manifest
+
+    if args.command == "visualize" and args.skip_ingest:
+        if not store.version("nodes", args.source):
+            print(f"error: no repository {args.source} is stored", file=sys.stderr)
+            return 1
+        return _draw(args, store, args.source)
     try:
         found = pipeline.ingest(spark, store, args.source, args.branch, args.force)
     except (OSError, RuntimeError) as e:
@@ -78,16 +111,7 @@ def main(argv: list[str] | None = None) -> int:
     _show("Failed files (first 10)", results.where("not success").orderBy("file_path").limit(10).collect(), ("file_path", "errors"))
     if args.command == "parse":
         return 0
-    nodes, edges = pipeline.build_graph(store, found.repo.repo_id)
-    _show("Graph", graph.graph_stats(nodes, edges).collect(), ("nodes", "edges", "orphans"))
-    dead = graph.dead_functions(nodes, edges)
-    print(f"Unreachable functions: {dead.count()}")
-    _show("First 20", dead.orderBy("file_path", "start_line").limit(20).collect(), ("file_path", "start_line", "name"))
-    if args.visualize:
-        with open(args.output, "w", encoding="utf-8") as f:
-            f.write(render.html(nodes, edges, found.repo.repo_id))
-        print(f"wrote {args.output}")
-    return 0
+    return _draw(args, store, found.repo.repo_id)
 
 
 if __name__ == "__main__":

@@ -22,6 +22,7 @@ class Ingested:
     files: DataFrame  # manifest rows with their status
     texts: DataFrame  # repo_id, path, language, content of the new and modified files
     before: DataFrame  # the snapshot they were compared with
+    force: bool = False  # was the stored manifest dropped
 
     def commit(self, store: Store) -> None:
         """Make the listing the stored snapshot. Done last: when a phase before fails, the next run sees the same changes."""
@@ -29,7 +30,8 @@ class Ingested:
         mine = manifest.upsert_snapshot(self.before, self.files).join(self.files.select("repo_id", "path", "last_modified"), ["repo_id", "path"], "left").withColumn("indexed_at", F.current_timestamp())
         store.write("files", r.repo_id, mine)
         meta = store.spark.createDataFrame([(r.repo_id, r.source, r.source_type, r.git_branch, r.git_commit)], "repo_id string, source string, source_type string, git_branch string, git_commit string")
-        store.write("repo_meta", r.repo_id, manifest.upsert_meta(store.read("repo_meta", r.repo_id), meta.withColumn("last_indexed_at", F.current_timestamp())))
+        known = store.read("repo_meta", r.repo_id)
+        store.write("repo_meta", r.repo_id, manifest.upsert_meta(known.limit(0) if self.force else known, meta.withColumn("last_indexed_at", F.current_timestamp())))
 
 
 def listing(tree: DataFrame) -> DataFrame:
@@ -43,7 +45,8 @@ def listing(tree: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, store: Store, source: str, branch: str | None = None, force: bool = False) -> Ingested:
-    """List a repository and compare it with its stored snapshot; `force` compares with nothing."""
+    """List a repository and compare it with its stored snapshot; with `force` that is dropped: all files are new, and what
+    is stored of the repository makes way for what is found."""
     repo = git.resolve(source, branch)
     current = stage(listing(read_tree(spark, repo.path, repo.repo_id)), "listing")
     stored = store.read("files", repo.repo_id)
@@ -52,14 +55,16 @@ def ingest(spark: SparkSession, store: Store, source: str, branch: str | None =
     files = stage(status.join(current.select("repo_id", "path", "last_modified"), ["repo_id", "path"], "left"), "manifest")
     changed = files.where(F.col("status").isin("new", "modified")).select("repo_id", "path")
     texts = current.join(changed, ["repo_id", "path"], "left_semi").select("repo_id", "path", "language", F.col("text").alias("content"))
-    return Ingested(repo, files, texts, before)
+    return Ingested(repo, files, texts, before, force)
 
 
 def parse(store: Store, found: Ingested) -> DataFrame:
     """Extract the changed files and bring the stored elements and edges up to date; the parse results."""
     repo_id = found.repo.repo_id
     rows = stage(xt.extract(found.texts), "extracted")
-    if store.version("nodes", repo_id):
+    if found.force:
+        store.drop(repo_id, "nodes", "call_edges", "import_edges", "inheritance_edges", "reference_edges", "parse_results")
+    elif store.version("nodes", repo_id):
         store.delete_files(repo_id, found.files.where("status != 'unchanged'").select(F.col("path").alias("file_path")))
     store.upsert_nodes(repo_id, xt.nodes(rows))
     for tag, name in (("call", "call_edges"), ("import", "import_edges"), ("inherit", "inheritance_edges")):

@@ -9,6 +9,7 @@ from codeweft.extract import generic
 from codeweft.extract import table as xt
 from codeweft.functions import lexical as L
 from codeweft.operators import graph, manifest, reports, resolve
+from codeweft.plans import codegraph
 from codeweft.session import stage, table
 from codeweft.sources import store
 
@@ -176,6 +177,19 @@ def extract_generic(spark, d):
     return _shown(xt.extract(_files(spark, GENERIC)))
 
 
+#: First lines of texts and the language each asks for: no text of the tables has such a line.
+SHEBANGS = [
+    ("#!/usr/bin/env python3\nx\n", "python"), ("#!/usr/bin/python2.7", "python"), ("#!/usr/bin/env node\n", "javascript"), ("#!/usr/local/bin/ruby\n", "ruby"), ("#!/bin/bash\necho\n", "shell"), ("#!/bin/sh\n", "shell"),
+    ("#! /usr/bin/zsh\n", "shell"), ("#!/usr/bin/perl\n", "perl"), ("#!/usr/bin/php\n", "php"), ("#!/usr/bin/tclsh\n", None), ("x = 1\n#!/bin/sh\n", None), (" #!/bin/sh\n", "shell"), ("", None),
+]
+
+
+def shebang_samples(spark, d):
+    """What the first lines of small texts ask for."""
+    df = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(SHEBANGS)], "nr int, content string")
+    return df.select("nr", L.shebang_language(F.col("content")).alias("interpreter"))
+
+
 def extracted_edges(spark, d):
     """Call, import and inheritance edges of the small sources."""
     rows = stage(xt.extract(_files(spark, {**PYTHON, **JAVASCRIPT, **GO})), "small")
@@ -259,7 +273,8 @@ def json_lists(spark, d):
     """Lists of nodes as JSON text and back."""
     n = graph.current_nodes(table(spark, d, "ir_nodes"), *store.LISTS)
     back = store.from_json_columns(store.to_json_columns(n))
-    return back.select("id", *[F.size(c).cast("long").alias(f"n_{c}") for c in store.LISTS])
+    text = lambda c: (lambda x: F.concat_ws(":", x["name"], F.coalesce(x["type"], F.lit("?")))) if c == "typed_parameters" else (lambda x: F.coalesce(x, F.lit("?")))
+    return back.select("id", *[F.size(c).cast("long").alias(f"n_{c}") for c in store.LISTS], *[F.array_join(F.transform(c, text(c)), "|").alias(c) for c in store.LISTS])
 
 
 def manifest_report(spark, d):
@@ -289,13 +304,14 @@ def legacy_edges(spark, d):
     return resolve.legacy_edges(stage(graph.current_nodes(table(spark, d, "ir_nodes"), "calls", "imports"), "nodes"))
 
 
-QUERIES = {f.__name__: f for f in (extract_python, extract_javascript, extract_go, extract_generic, extracted_edges, pattern_elements, source_definitions, extract_all, sources_graph, json_lists, manifest_report, parse_totals, parse_report, graph_report, legacy_edges)}
+QUERIES = {f.__name__: f for f in (extract_python, extract_javascript, extract_go, extract_generic, extracted_edges, shebang_samples, pattern_elements, source_definitions, extract_all, sources_graph, json_lists, manifest_report, parse_totals, parse_report, graph_report, legacy_edges)}
 _CUR = "WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC, deleted_at NULLS LAST) AS rn FROM ir_nodes) WHERE rn = 1 AND deleted_at IS NULL)"
 _LINES = r"""s AS (SELECT DISTINCT repo_id, path, content FROM source_files WHERE content IS NOT NULL),
   l AS (SELECT *, lag(line) OVER (PARTITION BY repo_id, path, content ORDER BY i) AS before FROM (SELECT *, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM s)),
   w AS (SELECT *, array_to_string(string_split(content, chr(10))[i:i + 40], chr(10)) AS ahead FROM l)"""
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 SQL = {
+    "shebang_samples": "SELECT * FROM (VALUES " + ", ".join(f"({k}, {'NULL' if want is None else repr(want)})" for k, (_, want) in enumerate(SHEBANGS)) + ") AS t(nr, interpreter)",
     # Definitions may span lines: those that begin a line are looked for from there, functions also where a line breaks off in one.
     "pattern_elements": rf"""WITH {_LINES},
   py AS (SELECT *, max(i + len(m) - len(replace(m, chr(10), ''))) OVER (PARTITION BY repo_id, path, content ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken
@@ -321,6 +337,23 @@ SQL = {
   n AS (SELECT repo_id, count(*) AS nodes FROM cur GROUP BY ALL), c AS (SELECT repo_id, count(DISTINCT id) AS calls FROM ir_call_edges GROUP BY ALL), i AS (SELECT repo_id, count(DISTINCT id) AS inherits FROM ir_inheritance_edges GROUP BY ALL)
   SELECT repo_id, CAST(coalesce(files, 0) AS BIGINT) AS files, CAST(coalesce(failed, 0) AS BIGINT) AS failed, CAST(coalesce(nodes, 0) AS BIGINT) AS nodes, CAST(coalesce(calls, 0) AS BIGINT) AS calls, CAST(coalesce(inherits, 0) AS BIGINT) AS inherits
   FROM f FULL JOIN n USING (repo_id) FULL JOIN c USING (repo_id) FULL JOIN i USING (repo_id)""",
+    "manifest_report": r"""WITH f AS (SELECT repo_id, path, v.language AS language, v.line_count AS line_count FROM (SELECT repo_id, path, arg_max({'language': language, 'line_count': line_count}, (indexed_at, coalesce(sha256, ''))) AS v FROM files GROUP BY ALL)),
+  t AS (SELECT repo_id, count(*) AS n, CAST(coalesce(sum(line_count), 0) AS BIGINT) AS lines FROM f GROUP BY repo_id), p AS (SELECT repo_id, language, count(*) AS k FROM f GROUP BY ALL),
+  g AS (SELECT repo_id, string_agg(chr(39) || coalesce(language, 'null') || chr(39) || ': ' || k, ', ' ORDER BY k DESC, language NULLS FIRST) AS langs FROM p GROUP BY repo_id),
+  m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY last_indexed_at DESC NULLS LAST, snapshot_id DESC NULLS LAST) AS k FROM (SELECT DISTINCT * FROM repo_meta)) WHERE k = 1)
+  SELECT t.repo_id, concat('Repo      : ', t.repo_id, chr(10), 'Source    : ', source, ' (', source_type, ')', chr(10), 'Commit    : ', coalesce(git_commit, 'N/A'), chr(10), 'Files     : ', n, ' (', format('{:,}', lines), ' lines)', chr(10),
+    'New       : ', n, chr(10), 'Modified  : 0', chr(10), 'Unchanged : 0', chr(10), 'Deleted   : 0', chr(10), 'Languages : {', coalesce(langs, ''), '}') AS report FROM t LEFT JOIN m USING (repo_id) LEFT JOIN g USING (repo_id)""",
+    "parse_report": f"""{_CUR}, r AS (SELECT repo_id, file_path, bool_and(coalesce(success, FALSE)) AS fine FROM parse_results GROUP BY ALL), f AS (SELECT repo_id, count(*) AS files, count(*) FILTER (NOT fine) AS failed FROM r GROUP BY ALL),
+  n AS (SELECT repo_id, count(*) AS nodes FROM cur GROUP BY ALL), c AS (SELECT repo_id, count(*) AS calls FROM ir_call_edges GROUP BY ALL), i AS (SELECT repo_id, count(*) AS inherits FROM ir_inheritance_edges GROUP BY ALL),
+  bad AS (SELECT repo_id, string_agg(chr(10) || '  x ' || file_path, '' ORDER BY file_path) AS names FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file_path) AS k FROM (SELECT DISTINCT repo_id, file_path FROM parse_results WHERE NOT coalesce(success, FALSE))) WHERE k <= 5 GROUP BY repo_id)
+  SELECT repo_id, concat('Repo         : ', repo_id, chr(10), 'Files parsed : ', coalesce(files, 0), chr(10), 'Total nodes  : ', coalesce(nodes, 0), chr(10), 'Call edges   : ', coalesce(calls, 0), chr(10), 'Inherit edges: ', coalesce(inherits, 0), chr(10), 'Failed files : ', coalesce(failed, 0), names) AS report
+  FROM f FULL JOIN n USING (repo_id) FULL JOIN c USING (repo_id) FULL JOIN i USING (repo_id) LEFT JOIN bad USING (repo_id)""",
+    "graph_report": f"WITH {codegraph._EDGES}, " + """n AS (SELECT repo_id, count(*) AS nodes FROM cur GROUP BY ALL), e AS (SELECT repo_id, count(*) AS edges FROM merged GROUP BY ALL),
+  o AS (SELECT repo_id, count(*) AS orphans FROM cur WHERE (repo_id, id) NOT IN (SELECT (repo_id, src) FROM merged) AND (repo_id, id) NOT IN (SELECT (repo_id, dst) FROM merged) GROUP BY ALL),
+  nk AS (SELECT repo_id, string_agg(x, ', ' ORDER BY x) AS kinds FROM (SELECT repo_id, concat_ws(' ', kind, count(*)) AS x FROM cur GROUP BY repo_id, kind) GROUP BY repo_id),
+  ek AS (SELECT repo_id, string_agg(x, ', ' ORDER BY x) AS types FROM (SELECT repo_id, concat_ws(' ', type, count(*)) AS x FROM merged GROUP BY repo_id, type) GROUP BY repo_id)
+  SELECT n.repo_id, concat('Repo         : ', n.repo_id, chr(10), 'Nodes        : ', nodes, chr(10), 'Edges        : ', coalesce(edges, 0), chr(10), 'Orphans      : ', coalesce(orphans, 0), chr(10), 'Nodes/kind   : ', coalesce(kinds, ''), chr(10), 'Edges/kind   : ', coalesce(types, '')) AS report
+  FROM n LEFT JOIN e USING (repo_id) LEFT JOIN o USING (repo_id) LEFT JOIN nk USING (repo_id) LEFT JOIN ek USING (repo_id)""",
     "legacy_edges": f"""{_CUR}, lastn AS (SELECT repo_id, name, id FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY file_path DESC, start_line DESC, id DESC) AS k FROM cur) WHERE k = 1),
   lists AS (SELECT DISTINCT repo_id, id AS src, unnest(calls) AS name FROM cur)
   SELECT DISTINCT w.repo_id, w.src, n.id AS dst, 'calls' AS type FROM lists w JOIN cur n ON n.repo_id = w.repo_id AND n.name = w.name
@@ -334,5 +367,7 @@ SQL = {
     "extracted_edges": "SELECT * FROM (VALUES " + ", ".join(str(r) for r in _EDGE_ROWS) + ") AS t(what, file_path, source, target)",
     "json_lists": "WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC, deleted_at NULLS LAST) AS rn FROM ir_nodes) WHERE rn = 1 AND deleted_at IS NULL) SELECT id, "
     + ", ".join(f"coalesce(len({c}), 0) AS n_{c}" for c in store.LISTS)
+    + ", "
+    + ", ".join(f"coalesce(array_to_string(list_transform({c}, lambda x: {"concat_ws(':', x.name, coalesce(x.type, '?'))" if c == 'typed_parameters' else "coalesce(x, '?')"}), '|'), '') AS {c}" for c in store.LISTS)
     + " FROM cur",
 }

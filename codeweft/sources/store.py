@@ -2,18 +2,21 @@
 
 A write makes a new version directory of one repository's part of a table and then switches to it by adding a small
 file, so a reader never sees half a table, a failed write leaves the last version in place, and no other repository is
-touched or read. Old versions stay until `prune`.
+touched or read. A version is a list of what to add and what to take away, so appending and deleting write only what
+they are about. Old versions stay until `prune`.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
 from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft import schemas
-from codeweft.session import delete, list_names, write_text
+from codeweft.session import delete, list_names, read_text, stage, write_text
 
 TABLES = {
     "files": schemas.FILE,
@@ -27,6 +30,8 @@ TABLES = {
     "graph_nodes": f"repo_id string, {schemas.GRAPH_NODE}",
     "graph_edges": f"repo_id string, {schemas.GRAPH_EDGE}",
 }
+#: Steps after which a version is written out whole.
+MOST_STEPS = 16
 #: The column by which rows of a table belong to a file.
 FILE_KEY = {"nodes": "file_path", "call_edges": "file_path", "import_edges": "source_file", "parse_results": "file_path"}
 
@@ -51,24 +56,65 @@ class Store:
         """Repositories with a version of the table."""
         return [r for x in list_names(self.spark, f"{self.folder}/{name}") if self.version(name, r := unquote(x))]
 
+    def _steps(self, name: str, repo_id: str, version: int | None = None) -> list[list[str]]:
+        """What makes up a version: [`rows`, folder] adds rows, [`gone`, folder, column] takes away those before it whose
+        column has one of the folder's values."""
+        v = self.version(name, repo_id) if version is None else version
+        said = read_text(self.spark, f"{self._part(name, repo_id)}/_versions/{v:09d}") if v else "[]"
+        return json.loads(said) if said else [["rows", f"v{v:09d}"]]
+
     def read(self, name: str, repo_id: str | None = None) -> DataFrame:
         """A table, of one repository or all; empty if it was never written. Columns that older versions lack are null."""
-        wanted = self.repos(name) if repo_id is None else [repo_id]
-        paths = [f"{self._part(name, r)}/v{v:09d}" for r in wanted if (v := self.version(name, r))]
-        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+        reader, plain, parts = self.spark.read.schema(TABLES[name]), [], []
+        for r in self.repos(name) if repo_id is None else [repo_id]:
+            steps, rows, folders = self._steps(name, r), None, []
+            for kind, folder, *column in [*steps, ["end", ""]]:
+                path = f"{self._part(name, r)}/{folder}"
+                if kind == "rows":
+                    folders.append(path)
+                elif folders and (kind == "gone" or rows is not None):
+                    more = reader.parquet(*folders)
+                    rows, folders = more if rows is None else rows.unionByName(more), []
+                if kind == "gone" and rows is not None:
+                    rows = rows.join(self.spark.read.parquet(path), column[0], "left_anti").select(rows.columns)
+            plain += folders
+            parts += [] if rows is None else [rows]
+        parts += [reader.parquet(*plain)] if plain else []
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], TABLES[name])
+
+    def _fit(self, name: str, repo_id: str, df: DataFrame) -> DataFrame:
+        want = self.spark.createDataFrame([], TABLES[name]).schema
+        return df.where(F.col("repo_id") == repo_id).select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
+
+    def _switch(self, name: str, repo_id: str, v: int, steps: list[list[str]]) -> None:
+        write_text(self.spark, f"{self._part(name, repo_id)}/_versions/{v:09d}", json.dumps(steps))
 
     def write(self, name: str, repo_id: str, df: DataFrame) -> None:
         """Make the rows of `repo_id` in `df` its part of the table; `df` may be derived from the table itself."""
         v = self.version(name, repo_id) + 1
-        want = self.spark.createDataFrame([], TABLES[name]).schema
-        cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want]
-        df.where(F.col("repo_id") == repo_id).select(*cols).write.mode("overwrite").parquet(f"{self._part(name, repo_id)}/v{v:09d}")
-        write_text(self.spark, f"{self._part(name, repo_id)}/_versions/{v:09d}", "")
+        self._fit(name, repo_id, df).write.mode("overwrite").parquet(f"{self._part(name, repo_id)}/v{v:09d}")
+        self._switch(name, repo_id, v, [["rows", f"v{v:09d}"]])
+
+    def change(self, name: str, repo_id: str, new: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """Take away the rows whose value of the one column of `gone` is in it, then add `new`. Only these are written, until
+        a version has MOST_STEPS steps; then it is written out whole."""
+        v, steps = self.version(name, repo_id) + 1, self._steps(name, repo_id)
+        if gone is not None and steps:
+            gone.distinct().write.mode("overwrite").parquet(f"{self._part(name, repo_id)}/d{v:09d}")
+            steps.append(["gone", f"d{v:09d}", gone.columns[0]])
+        if new is not None:
+            self._fit(name, repo_id, new).write.mode("overwrite").parquet(f"{self._part(name, repo_id)}/v{v:09d}")
+            steps.append(["rows", f"v{v:09d}"])
+        self._switch(name, repo_id, v, steps)
+        if len(steps) > MOST_STEPS:
+            self.write(name, repo_id, self.read(name, repo_id))
 
     def prune(self, name: str, repo_id: str, keep: int = 2) -> None:
+        """Remove what none of the last `keep` versions is made of."""
         v = self.version(name, repo_id)
+        kept = {step[1] for k in range(max(1, v - keep + 1), v + 1) for step in self._steps(name, repo_id, k)}
         for x in list_names(self.spark, self._part(name, repo_id)):
-            if x.startswith("v") and x[1:].isdigit() and int(x[1:]) <= v - keep:
+            if x[0] in "vd" and x[1:].isdigit() and int(x[1:]) <= v and x not in kept:
                 delete(self.spark, f"{self._part(name, repo_id)}/{x}")
 
     # --- elements and edges
@@ -77,11 +123,11 @@ class Store:
         """Rows replace those of their id; within `new` the last written row of an id holds."""
         rest = [c for c in new.columns if c not in ("repo_id", "id")]
         last = new.where(F.col("repo_id") == repo_id).groupBy("repo_id", "id").agg(F.max_by(F.struct(*rest), F.struct("file_path", "ord")).alias("v")).select("repo_id", "id", "v.*")
-        old = self.read("nodes", repo_id).join(last.select("id"), "id", "left_anti")
-        self.write("nodes", repo_id, old.unionByName(last, allowMissingColumns=True))
+        last = stage(last, "last-nodes")
+        self.change("nodes", repo_id, last, last.select("id"))
 
     def append(self, name: str, repo_id: str, new: DataFrame) -> None:
-        self.write(name, repo_id, self.read(name, repo_id).unionByName(new, allowMissingColumns=True))
+        self.change(name, repo_id, new)
 
     def delete_files(self, repo_id: str, gone: DataFrame) -> None:
         """Remove everything of the files in `gone` (file_path): elements, edges from them, and the inheritance and
@@ -90,10 +136,16 @@ class Store:
         ids = self.read("nodes", repo_id).join(gone, "file_path", "left_semi").select("id")
         for name, key in (("inheritance_edges", "child_id"), ("reference_edges", "source_id")):
             if self.version(name, repo_id):
-                self.write(name, repo_id, self.read(name, repo_id).join(ids.withColumnRenamed("id", key), key, "left_anti"))
+                self.change(name, repo_id, gone=ids.withColumnRenamed("id", key))
         for name, key in reversed(FILE_KEY.items()):
             if self.version(name, repo_id):
-                self.write(name, repo_id, self.read(name, repo_id).join(gone.withColumnRenamed("file_path", key), key, "left_anti"))
+                self.change(name, repo_id, gone=gone.withColumnRenamed("file_path", key))
+
+    def drop(self, repo_id: str, *names: str) -> None:
+        """Empty a repository's part of the tables."""
+        for name in names:
+            if self.version(name, repo_id):
+                self._switch(name, repo_id, self.version(name, repo_id) + 1, [])
 
     def nodes_of_file(self, repo_id: str, path: str) -> DataFrame:
         return self.read("nodes", repo_id).where(F.col("file_path") == path)

@@ -28,9 +28,9 @@ def suffix(name: str) -> str:
     return (dot + tail).lower() if head and tail and head.strip(".") else ""
 
 
-def walk(root: str, max_bytes: int = C.MAX_FILE_BYTES) -> list[tuple[str, int]]:
+def walk(root: str, max_bytes: int = C.MAX_FILE_BYTES, sniff: bool = True) -> list[tuple[str, int]]:
     """(relative path, size) of the source files of a tree. Excluded, hidden and ignored directories aren't entered;
-    files need a source extension or none, must not be ignored, too large or binary."""
+    files need a source extension or none, must not be ignored, too large or, with `sniff`, which opens them, binary."""
     try:
         with open(os.path.join(root, ".gitignore"), encoding="utf-8") as f:
             ignored = Ignore(f)
@@ -49,9 +49,10 @@ def walk(root: str, max_bytes: int = C.MAX_FILE_BYTES) -> list[tuple[str, int]]:
                 size = os.stat(full).st_size
                 if size > max_bytes:
                     continue
-                with open(full, "rb") as f:
-                    if b"\0" in f.read(C.SNIFFED_BYTES):
-                        continue
+                if sniff:
+                    with open(full, "rb") as f:
+                        if b"\0" in f.read(C.SNIFFED_BYTES):
+                            continue
             except OSError:
                 continue
             out.append((at(name), size))
@@ -71,7 +72,8 @@ class TreeReader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         parts, size = [[]], 0
-        for path, n in walk(self.root, self.max_bytes):
+        # The driver lists only; binary files are told where they are read.
+        for path, n in walk(self.root, self.max_bytes, sniff=False):
             if size + n > TASK_BYTES or len(parts[-1]) >= TASK_FILES:
                 parts.append([])
                 size = 0
@@ -88,6 +90,8 @@ class TreeReader(DataSourceReader):
                     content = f.read()
             except OSError:
                 continue  # gone since it was listed
+            if b"\0" in content[: C.SNIFFED_BYTES]:
+                continue
             yield self.repo, path, stat.st_size, datetime.fromtimestamp(stat.st_mtime, tz=timezone.utc), content
 
 

@@ -157,3 +157,32 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     assert "Unreachable functions" in out and (tmp_path / "g.html").exists()
     assert cli.main(["parse", str(root), "--store", f"file://{tmp_path}/s"]) == 0
     assert "nothing to parse" in capsys.readouterr().out
+    assert cli.main(["visualize", "repo", "--skip-ingest", "--store", f"file://{tmp_path}/s", "-o", str(tmp_path / "v.html")]) == 0
+    assert (tmp_path / "v.html").exists() and cli.main(["visualize", "unknown", "--skip-ingest", "--store", f"file://{tmp_path}/s"]) == 1
+    (root / "src/main.py").unlink()
+    assert cli.main(["parse", str(root), "-f", "--store", f"file://{tmp_path}/s"]) == 0
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert store.read("nodes", "repo").where("file_path = 'src/main.py'").count() == 0 and store.read("files", "repo").where("path = 'src/main.py'").count() == 0
+
+
+def test_appending_and_deleting_write_only_what_they_are_about(spark, tmp_path):
+    from codeweft.sources import store as module
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    edge = lambda k, file: spark.createDataFrame([("r", k, f"c{k}", "f", None, file, k, 0, False)], "repo_id string, ord long, caller_id string, callee_name string, callee_id string, file_path string, line_number int, col_number int, is_method_call boolean")
+    part = tmp_path / "s/call_edges/r"
+    for k in range(4):
+        store.append("call_edges", "r", edge(k, f"{k % 2}.py"))
+    assert sorted(p.name for p in part.iterdir() if p.name[0] == "v") == [f"v{k:09d}" for k in range(1, 5)]
+    assert [spark.read.parquet(f"file://{part}/v{k:09d}").count() for k in range(1, 5)] == [1, 1, 1, 1]
+    store.delete_files("r", spark.createDataFrame([("1.py",)], "file_path string"))
+    store.append("call_edges", "r", edge(9, "1.py"))
+    assert rows(store.read("call_edges", "r"), "line_number") == rows(store.read("call_edges"), "line_number") == [(0,), (2,), (9,)]
+    store.prune("call_edges", "r", 1)
+    for k in range(20, 20 + module.MOST_STEPS):
+        store.append("call_edges", "r", edge(k, "k.py"))
+    assert store.read("call_edges").count() == 3 + module.MOST_STEPS and len(store._steps("call_edges", "r")) < module.MOST_STEPS
+    store.prune("call_edges", "r", 1)
+    assert store.read("call_edges").count() == 3 + module.MOST_STEPS
+    store.drop("r", "call_edges")
+    assert store.read("call_edges").count() == 0

@@ -25,9 +25,13 @@ TILT = 0.5
 BUCKETS = 1 << 16
 
 
-def source_plan(sized: DataFrame, targets: DataFrame, total: int | None = None, tilt: float = TILT) -> DataFrame:
+def source_plan(sized: DataFrame, targets: DataFrame, total: int | None = None, tilt: float = TILT, slopes: dict[str, float] | None = None) -> DataFrame:
     """source, target_share, max_repeats, share (scaled), available, demand (tokens to draw), slope. One row per source:
-    the window over all sources runs over the target table's few rows."""
+    the window over all sources runs over the target table's few rows.
+
+    `slopes` is the caller's schedule: a source's weight goes from share * (1 - slope) to share * (1 + slope), sources
+    that it doesn't name stay level. Slopes are shifted so that all weights add up to 1 at any time, and scaled down
+    together where that takes one beyond 1. By default they follow the mean length of a source's texts, up to `tilt`."""
     avail = sized.groupBy("source").agg(F.sum("tokens").alias("available"), (F.sum("tokens") / F.count("*")).alias("mean_tokens"))
     goals = targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     every = Window.partitionBy()
@@ -38,13 +42,16 @@ def source_plan(sized: DataFrame, targets: DataFrame, total: int | None = None,
     p = p.withColumn("total", F.least(most, F.lit(float(total))) if total is not None else most)
     p = p.withColumn("demand", F.floor(F.col("share") * F.col("total")).cast("long"))
     # Slopes add up to 0 when weighted by share, and none exceeds the tilt: every schedule stays positive.
-    order = F.percent_rank().over(Window.orderBy("mean_tokens", "source"))
-    p = p.withColumn("raw", order)
+    given = slopes is not None
+    named = F.coalesce(F.create_map(*[F.lit(x) for kv in slopes.items() for x in kv])[F.col("source")], F.lit(0.0)) if slopes else F.lit(0.0)
+    p = p.withColumn("raw", named.cast("double") if given else F.percent_rank().over(Window.orderBy("mean_tokens", "source")))
     p = p.withColumn("raw", F.col("raw") - F.sum(F.col("raw") * F.col("share")).over(every))
-    return p.withColumn("slope", F.round(F.col("raw") * F.lit(tilt) / F.greatest(F.max(F.abs("raw")).over(every), F.lit(1e-9)), 9)).drop("raw", "mean_tokens")
+    most_raw = F.max(F.abs("raw")).over(every)
+    scale = 1 / F.greatest(most_raw, F.lit(1.0)) if given else F.lit(tilt) / F.greatest(most_raw, F.lit(1e-9))
+    return p.withColumn("slope", F.round(F.col("raw") * scale, 9)).drop("raw", "mean_tokens")
 
 
-def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, tilt: float = TILT, seed: int = 17, **tokenizer) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, tilt: float = TILT, seed: int = 17, slopes: dict[str, float] | None = None, **tokenizer) -> DataFrame:
     """position (0 to 1), doc_id, source, copy (from 0), tokens: the drawn copies in training order.
 
     Cumulative sums run in two steps, bucket totals per source first, then within a bucket, so that no task ever holds
@@ -52,7 +59,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, tilt: flo
     known = docs.where(F.col("source").isNotNull() & F.col("text").isNotNull())
     counted = token_counts(known.select("doc_id", "text"), **tokenizer).where("tokens > 0").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
     sized = stage(known.groupBy("doc_id").agg(F.min("source").alias("source")).join(counted, "doc_id"), "sized")
-    plan = stage(source_plan(sized, targets, total, tilt), "mix-plan")
+    plan = stage(source_plan(sized, targets, total, tilt, slopes), "mix-plan")
     copies = sized.join(plan.select("source", "available", "demand", "slope"), "source").withColumn(
         "copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("demand") / F.col("available")).cast("int") - 1))
     )

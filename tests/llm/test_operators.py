@@ -184,6 +184,16 @@ def test_mix(spark):
     assert mixing.mix(d.limit(0), goals).count() == 0 and mixing.mix(d, goals.limit(0)).count() == 0
 
 
+def test_schedule_of_the_caller(spark):
+    sized = spark.createDataFrame([(k, s, 10) for k, s in enumerate("aaaabbbbcccc")], "doc_id long, source string, tokens long")
+    goals = spark.createDataFrame([("a", 0.5, 3), ("b", 0.25, 3), ("c", 0.25, 3)], "source string, target_share double, max_repeats int")
+    slope = lambda **s: {r.source: r.slope for r in mixing.source_plan(sized, goals, slopes=s).collect()}
+    assert slope() == {"a": 0.0, "b": 0.0, "c": 0.0}
+    assert slope(b=0.4, c=-0.4) == pytest.approx({"a": 0.0, "b": 0.4, "c": -0.4})
+    steep = slope(a=2.0)
+    assert max(map(abs, steep.values())) == pytest.approx(1.0) and sum(steep[r.source] * r.target_share for r in goals.collect()) == pytest.approx(0.0)
+
+
 # --- 10: truncated texts
 
 SENTENCES = ["The cache holds one node per graph.", "We should collect every batch before the file is written.", "Nobody knows why it returns a stale edge here.", "Each worker waits for the lock of its own ledger.", "Run the scan again to see the open rows."]
@@ -214,6 +224,24 @@ def test_truncation(spark):
     assert truncation.truncation_evidence(d.limit(0)).count() == 0
 
 
+def test_beginnings_against_brute_force(spark):
+    rnd = random.Random(5)
+    words = lambda n: {"".join(rnd.choice("abé") for _ in range(rnd.randrange(1, 7))) for _ in range(n)}
+    asked, known = words(300) | {"a" * 9_999}, words(60) | {"a" * 10_000, "b"}
+    frame = lambda ws, name: spark.createDataFrame([(w,) for w in ws], f"{name} string").repartition(5)
+    got = [r.word for r in truncation.beginnings(frame(asked, "word"), frame(known, "key")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {a for a in asked if any(k != a and k.startswith(a) for k in known)}
+    none = frame(set(), "word")
+    assert truncation.beginnings(none, frame(known, "key")).count() == 0 and truncation.beginnings(frame(asked, "word"), none.withColumnRenamed("word", "key")).count() == 0
+
+
+def test_usual_lengths_are_no_limits(spark):
+    """A length twice as frequent as its neighbours is significant in a large corpus and still no limit."""
+    lengths = [(n, 100 if n != 60 else 180) for n in range(30, 120)] + [(200, 900)]
+    df = spark.createDataFrame([("s", n, n, n) for n, k in lengths for _ in range(k)], "source string, chars long, bytes long, units long")
+    assert {r.length for r in truncation.length_limits(df).collect()} == {200}
+
+
 def test_queries_run(spark, smallest):
     from codeweft.llm import queries
 

@@ -1,6 +1,6 @@
 """Languages without an extractor of their own, by patterns, as SQL expressions: modules, imports, classes, functions.
 
-A file's text never leaves the JVM. Where a pattern matches, a mark is put into the text; cut into lines, the marks give
+Where a pattern matches, a mark is put into the text; cut into lines, the marks give
 each match's line and column, and stand in the order of the matches themselves. A null text gives a failed result; a
 text without matches a module only. Edges aren't read. Lines end at a line feed.
 """
@@ -30,6 +30,14 @@ _MARK = r"'\u0001'"
 _NONE, _EMPTY = "CAST(NULL AS STRING)", "CAST(array() AS ARRAY<STRING>)"
 
 
+NOTE = ": read by patterns, structure is only approximate"
+
+
+def label(path: str) -> str:
+    """A file's extension stands for its language."""
+    return path.rpartition(".")[2].lower() if "." in path else "unknown"
+
+
 def _text(s: str) -> str:
     """A SQL literal."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -113,5 +121,5 @@ def by_patterns(files: DataFrame) -> DataFrame:
     every = made.select("repo_id", "path", "language", "label", "read", F.posexplode(nodes).alias("ord", "node"))
     return every.selectExpr(
         "repo_id", "path AS file_path", "IF(read, label, coalesce(language, 'unknown')) AS language", "ord", "IF(ord = 0, 'file', 'node') AS tag", "node", "IF(ord = 0, read, NULL) AS success",
-        "IF(ord = 0, array(IF(read, concat(label, ': read by patterns, structure is only approximate'), 'file could not be read')), NULL) AS errors",
+        f"IF(ord = 0, array(IF(read, concat(label, {_text(NOTE)}), 'file could not be read')), NULL) AS errors",
     )

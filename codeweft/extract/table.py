@@ -79,6 +79,10 @@ def _rows(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     rows: list[dict] = []
     for b in batches:
         for r in b.to_pylist():
+            if r["content"] is not None and extractor(r["language"]) is None:
+                said = generic.label(r["path"])
+                rows.append({"repo_id": r["repo_id"], "file_path": r["path"], "language": said, "ord": 0, "tag": "text", "success": True, "errors": [said + generic.NOTE], "content": r["content"]})
+                continue
             e = extract_file(r["content"], r["path"], r["repo_id"], r["language"])
             key = {"repo_id": r["repo_id"], "file_path": r["path"], "language": e.language}
             if e.by_patterns:
@@ -101,11 +105,10 @@ def extract(files: DataFrame) -> DataFrame:
     """Tagged rows of `files` (repo_id, path, language, content): a row `file` each, then `node`, `call`, `import` and
     `inherit` rows. Read it through `stage` when more than one tag is wanted, so that texts are parsed once.
 
-    Only texts in a language with an extractor go to Python; those that it passes on come back for the patterns."""
+    Texts are read once: those without an extractor, or that theirs can't parse, are passed through for the patterns."""
     ship(files.sparkSession)
-    known = F.lower(F.coalesce(F.col("language"), F.lit(""))).isin(*EXTRACTORS)
     wanted = files.where(F.col("path").isNotNull() & ~F.coalesce(F.col("language"), F.lit("")).isin(*C.UNPARSED_LANGUAGES)).select("repo_id", "path", "language", "content")
-    read = wanted.where(known).mapInArrow(partial(_rows, _arrow(_READ)), _READ)
+    read = wanted.mapInArrow(partial(_rows, _arrow(_READ)), _READ)
     columns = [c for c in read.columns if c != "content"]
     # In one pass: a text to be read by patterns becomes its rows, any other row stays one.
     read = generic.with_pattern_nodes(read, "file_path", "language", "tag = 'text'")
@@ -113,10 +116,7 @@ def extract(files: DataFrame) -> DataFrame:
     several = F.expr(f"IF(tag = 'text', concat(array(CAST(NULL AS {kind})), transform(nodes, x -> CAST(x AS {kind}))), array(node))")
     spread = read.select(*[c for c in columns if c != "node"], F.posexplode(several).alias("pos", "node"))
     shown = {"ord": "IF(tag = 'text', pos, ord)", "tag": "CASE WHEN tag <> 'text' THEN tag WHEN pos = 0 THEN 'file' ELSE 'node' END", "success": "IF(pos = 0, success, NULL)", "errors": "IF(pos = 0, errors, NULL)"}
-    by_reader = spread.selectExpr(*[f"{shown.get(c, c)} AS {c}" for c in columns])
-    plain = generic.by_patterns(wanted.where(~known))
-    kinds = {f.name: f.dataType.simpleString() for f in by_reader.schema}
-    return by_reader.union(plain.selectExpr(*[f"CAST({c if c in plain.columns else 'NULL'} AS {kinds[c]}) AS {c}" for c in columns]))
+    return spread.selectExpr(*[f"{shown.get(c, c)} AS {c}" for c in columns])
 
 
 def nodes(rows: DataFrame) -> DataFrame:

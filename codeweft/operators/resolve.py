@@ -114,10 +114,12 @@ def import_files(imports: DataFrame, nodes: DataFrame) -> DataFrame:
 def import_goals(imports: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(repo_id, source_file, file_path), (repo_id, source_file, dst): the files that each file imports, and where no file
     is meant, the nodes named so (by the full target, else by its stem)."""
-    files = import_files(imports, nodes)
+    # Each is used several times below and small beside the nodes.
+    imports = stage(imports, "imports")
+    files = stage(import_files(imports, nodes), "import-files")
     rest = imports.join(files.select("repo_id", "target_module").distinct(), ["repo_id", "target_module"], "left_anti")
     named = nodes.select("repo_id", F.col("name").alias("wanted"), F.col("id").alias("dst"))
-    full = rest.join(named, (rest.repo_id == named.repo_id) & (rest.target_module == named.wanted)).select(rest.repo_id, "source_file", "target_module", "dst")
+    full = stage(rest.join(named, (rest.repo_id == named.repo_id) & (rest.target_module == named.wanted)).select(rest.repo_id, "source_file", "target_module", "dst"), "named-imports")
     left = rest.join(full.select("repo_id", "target_module").distinct(), ["repo_id", "target_module"], "left_anti").withColumn("wanted", L.stem(F.col("target_module")))
     stem = left.join(named, ["repo_id", "wanted"]).select("repo_id", "source_file", "target_module", "dst")
     return files.select("repo_id", "source_file", "file_path").distinct(), full.select("repo_id", "source_file", "dst").union(stem.select("repo_id", "source_file", "dst")).distinct()
@@ -127,7 +129,6 @@ def import_hops(imports: DataFrame, nodes: DataFrame) -> DataFrame:
     """repo_id, src, dst: the import edges with vertices for files that import and are imported: as many rows as nodes,
     pairs of files and named nodes, where `import_edges` has the product of two files' nodes for each pair."""
     by_file, by_name = import_goals(imports, nodes)
-    by_file = stage(by_file, "file-imports")
     own = nodes.select("repo_id", "file_path", "id")
     importing = by_file.select("repo_id", F.col("source_file").alias("file_path")).union(by_name.select("repo_id", "source_file")).distinct()
     out = own.join(importing, ["repo_id", "file_path"], "left_semi").select("repo_id", F.col("id").alias("src"), vertex("from", F.col("file_path")).alias("dst"))
